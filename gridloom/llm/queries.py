@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridloom.llm import components, copies
+from gridloom.llm import components, copies, encoding, lookalike
 from gridloom.session import table
 
 
@@ -12,6 +13,39 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return components.connected_groups(table(spark, d, "geometry_nodes"), table(spark, d, "geometry_edges"))
 
 
+def _statistics(spark: SparkSession, d: str) -> encoding.Statistics:
+    """Of all drawing texts and layers."""
+    audit = table(spark, d, "audit_entities")
+    texts = audit.select(F.col("text").alias("t")).unionAll(audit.select("layer")).unionAll(table(spark, d, "cad_entities").select("layer"))
+    return encoding.gather(texts)
+
+
+def _garbled(spark: SparkSession, d: str) -> DataFrame:
+    stats = _statistics(spark, d)
+    texts = table(spark, d, "audit_entities").select(F.lit("audit_entities").alias("table_name"), "row_id", F.col("text").alias("value"))
+    layers = table(spark, d, "cad_entities").select(F.lit("cad_entities").alias("table_name"), "row_id", F.col("layer").alias("value"))
+    return encoding.restore(texts.unionAll(layers), "value", stats)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _garbled(spark, d).select("table_name", "row_id")
+
+
+def p3_restored(spark: SparkSession, d: str) -> DataFrame:
+    return _garbled(spark, d)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    audit = table(spark, d, "audit_entities").select("row_id", "text", "layer")
+    odd = lookalike.odd_characters
+    rows = audit.where(odd(F.col("text")) | odd(F.col("layer")))
+    return encoding.disguised(rows, ["row_id"], ["text", "layer"], "text", _statistics(spark, d)).select("row_id", "field_name")
+
+
+def p4_spelled(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.spell_columns(table(spark, d, "audit_entities"), ["row_id"], ["text", "layer"])
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return copies.copies(table(spark, d, "cad_entities"))
 
@@ -20,7 +54,7 @@ def p6_records(spark: SparkSession, d: str) -> DataFrame:
     return copies.collapsed(table(spark, d, "cad_entities").select("row_id", "project_id", "entity_type", "layer", "start_pt", "end_pt"))
 
 
-QUERIES = {"p2_found": p2_found, "p6_found": p6_found, "p6_records": p6_records}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_spelled": p4_spelled, "p6_found": p6_found, "p6_records": p6_records}
 
 _P2 = """
 WITH RECURSIVE n AS (SELECT DISTINCT project_id, node_id FROM geometry_nodes WHERE node_id IS NOT NULL),
