@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import components, copies, encoding, lookalike
+from gridloom.llm import components, copies, encoding, lookalike, mixing, tokens
 from gridloom.session import table
 
 
@@ -54,7 +54,28 @@ def p6_records(spark: SparkSession, d: str) -> DataFrame:
     return copies.collapsed(table(spark, d, "cad_entities").select("row_id", "project_id", "entity_type", "layer", "start_pt", "end_pt"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_spelled": p4_spelled, "p6_found": p6_found, "p6_records": p6_records}
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.token_ids(table(spark, d, "documents"), ["doc_id"])
+
+
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    counts = tokens.token_counts(table(spark, d, "documents"), ["doc_id", "source"])
+    return mixing.mix(counts, table(spark, d, "mix_targets"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[1]
+
+
+def p8_sequence(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.sequence(_mix(spark, d)[0])
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_spelled": p4_spelled, "p6_found": p6_found, "p6_records": p6_records, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_sequence": p8_sequence}
 
 _P2 = """
 WITH RECURSIVE n AS (SELECT DISTINCT project_id, node_id FROM geometry_nodes WHERE node_id IS NOT NULL),
