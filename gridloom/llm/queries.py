@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import components, copies, encoding, lookalike, mixing, tokens
+from gridloom.llm import components, copies, encoding, lookalike, mixing, moderation, tokens
 from gridloom.session import table
 
 
@@ -75,7 +75,22 @@ def p8_sequence(spark: SparkSession, d: str) -> DataFrame:
     return mixing.sequence(_mix(spark, d)[0])
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_spelled": p4_spelled, "p6_found": p6_found, "p6_records": p6_records, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_sequence": p8_sequence}
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    net = moderation.train(*moderation.sample_labelled(docs, table(spark, d, "moderation_labels")))
+    return moderation.score_documents(docs, net, ["doc_id", "source"])
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_scores(spark, d).where(F.col("score") >= moderation.THRESHOLD).select("doc_id")
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    abusive = F.count_if(F.col("score") >= moderation.THRESHOLD)
+    return p9_scores(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), abusive.alias("n_abusive"), (abusive / F.count(F.lit(1))).alias("rate"))
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_spelled": p4_spelled, "p6_found": p6_found, "p6_records": p6_records, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_sequence": p8_sequence, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
 
 _P2 = """
 WITH RECURSIVE n AS (SELECT DISTINCT project_id, node_id FROM geometry_nodes WHERE node_id IS NOT NULL),
