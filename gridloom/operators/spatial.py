@@ -93,10 +93,13 @@ def nearest(points: DataFrame, targets: DataFrame, keys: Sequence[str], ids: Seq
     d = distance if distance is not None else dist(F.col("x"), F.col("y"), F.col("r_x"), F.col("r_y"))
     has = targets.dropna(subset=[*keys, *BOX]).select(*keys).distinct()
     left = scratch.save(point_box(points.dropna(subset=["x", "y", *keys]), "x", "y").join(has, list(keys), "left_semi"), "points")
-    radius, found = start, None
+    ends = left.select(*BOX).unionAll(targets.dropna(subset=[*keys, *BOX]).select(*BOX)).agg(F.min("min_x"), F.min("min_y"), F.max("max_x"), F.max("max_y")).first()
+    extent = max(ends[2] - ends[0], ends[3] - ends[1]) * 1.5 if ends[0] is not None else 0.0
+    radius, found, last = start, None, False
     for _ in range(max_steps):
-        if left.isEmpty():
+        if last or left.isEmpty():
             break
+        last = radius > extent
         pairs = box_join(left, targets, keys, radius, radius).withColumn("_d", d).where(F.col("_d") <= radius)
         step = scratch.save(best(pairs, ids, [F.col("_d"), order], ["_d", *take]), "step")
         found = step if found is None else found.unionByName(step)
