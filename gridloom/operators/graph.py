@@ -22,25 +22,28 @@ def components(nodes: DataFrame, pairs: DataFrame, keys: Sequence[str], label: s
     """keys and the least key of each node's component.
 
     nodes has `keys` (the last one is the node, those before it its scope); pairs has
-    the scope, a and b. Labels spread to neighbours and then jump along the labels of labels, so that
-    a path of n nodes takes about log n rounds; each round is written to the shared folder."""
+    the scope, a and b. In a round each node takes the least label among its neighbours, and so
+    does the node that its label names; labels then jump twice to the labels of labels. So whole
+    trees join at once, and a path of n nodes takes about log n rounds. Each round is written to
+    the shared folder."""
     *scope, node = keys
     scratch = Scratch(nodes.sparkSession, "components")
     both = scratch.save(pairs.select(*scope, "a", "b").union(pairs.select(*scope, F.col("b"), F.col("a"))).where(F.col("a") != F.col("b")).distinct(), "pairs")
     state, _ = scratch.save_with(nodes.select(*scope, F.col(node).alias("n")).distinct().withColumn("l", F.col("n")), "labels", n=F.count(F.lit(1)))
     for _ in range(MAX_ROUNDS):
         near = both.join(state.select(*scope, F.col("n").alias("b"), "l"), [*scope, "b"]).groupBy(*scope, F.col("a").alias("n")).agg(F.min("l").alias("m"))
-        step = state.join(near, [*scope, "n"], "left").select(*scope, "n", "l", F.least("l", "m").alias("k"))
-        step = scratch.save(step, "step")
-        jump = step.select(*scope, F.col("n").alias("k"), F.col("k").alias("kk"))
-        new = step.join(jump, [*scope, "k"], "left").select(*scope, "n", F.least("k", "kk").alias("new"), "l")
-        new, seen = scratch.save_with(new.select(*scope, "n", F.col("new").alias("l"), (F.col("new") != F.col("l")).alias("moved")), "labels", moved=F.count_if("moved"))
-        scratch.drop(state)
-        scratch.drop(step)
-        state = new.drop("moved")
-        state._gridloom_path = new._gridloom_path
+        found = state.join(near, [*scope, "n"]).where(F.col("m") < F.col("l"))
+        hooks = found.select(*scope, F.explode(F.array("n", "l")).alias("n"), "m").groupBy(*scope, "n").agg(F.min("m").alias("m"))
+        step, seen = scratch.save_with(state.join(hooks, [*scope, "n"], "left").select(*scope, "n", F.least("l", "m").alias("l"), F.col("m").isNotNull().alias("moved")), "step", moved=F.count_if("moved"))
         if not seen["moved"]:
             return state.select(*scope, F.col("n").alias(node), F.col("l").alias(label))
+        scratch.drop(state)
+        for _ in range(2):
+            jump = step.select(*scope, F.col("n").alias("l"), F.col("l").alias("ll"))
+            far = scratch.save(step.join(jump, [*scope, "l"], "left").select(*scope, "n", F.least("l", "ll").alias("l")), "labels")
+            scratch.drop(step)
+            step = far
+        state = step
     raise RuntimeError(f"labels still move after {MAX_ROUNDS} rounds")
 
 

@@ -91,9 +91,10 @@ def nearest(points: DataFrame, targets: DataFrame, keys: Sequence[str], ids: Seq
     larger one; so no step pairs all points with all targets."""
     scratch = Scratch(points.sparkSession, "nearest")
     d = distance if distance is not None else dist(F.col("x"), F.col("y"), F.col("r_x"), F.col("r_y"))
-    has = targets.dropna(subset=[*keys, *BOX]).select(*keys).distinct()
+    targets = scratch.save(targets.dropna(subset=[*keys, *BOX]), "targets")
+    has = targets.select(*keys).distinct()
     left = scratch.save(point_box(points.dropna(subset=["x", "y", *keys]), "x", "y").join(has, list(keys), "left_semi"), "points")
-    ends = left.select(*BOX).unionAll(targets.dropna(subset=[*keys, *BOX]).select(*BOX)).agg(F.min("min_x"), F.min("min_y"), F.max("max_x"), F.max("max_y")).first()
+    ends = left.select(*BOX).unionAll(targets.select(*BOX)).agg(F.min("min_x"), F.min("min_y"), F.max("max_x"), F.max("max_y")).first()
     extent = max(ends[2] - ends[0], ends[3] - ends[1]) * 1.5 if ends[0] is not None else 0.0
     radius, found, last = start, None, False
     for _ in range(max_steps):
