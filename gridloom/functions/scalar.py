@@ -39,7 +39,7 @@ def between_angle(dx0: Column, dy0: Column, dx1: Column, dy1: Column) -> Column:
     """Angle of two vectors in degrees, from 0 to 180; null where one has no length."""
     n = F.sqrt(dx0 * dx0 + dy0 * dy0) * F.sqrt(dx1 * dx1 + dy1 * dy1)
     cos = (dx0 * dx1 + dy0 * dy1) / F.when(n > 0, n)
-    return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos))))
+    return F.when(n > 0, F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)))))
 
 
 def along(px: Column, py: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
