@@ -17,7 +17,7 @@ FORMATTING = r"[\s\p{Z}\p{P}$+<=>^`|~]"
 def layer_key(c: Column) -> Column:
     """Without whitespace and punctuation, in one letter case; all four Turkish i are one letter."""
     bare = F.upper(F.lower(F.regexp_replace(c, FORMATTING, "")))
-    return F.regexp_replace(F.regexp_replace(bare, "İ", "I"), "İ", "I")
+    return F.regexp_replace(F.regexp_replace(bare, "I\u0307", "I"), "İ", "I")
 
 
 def _number(text: Column) -> Column:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.lookalike import per_value, spelling
+from gridloom.llm.lookalike import SCRIPTS, per_value, script, spelling
 
 # Encodings under which multibyte text is misread.
 READ_AS = "cp1252 latin-1 cp1254 cp1250 cp1251 cp1253 cp437 cp850 cp857 cp852 cp866 mac_roman".split()
@@ -106,7 +106,7 @@ def _shape(token: str) -> str:
     return "\x02" + DIGITS.sub("0", token).replace("İ", "i").lower() + "\x03"
 
 
-_CASE = str.maketrans({"İ": "i", "I": "i", "ı": "i", "̇": ""})
+_CASE = str.maketrans({"İ": "i", "I": "i", "ı": "i", "\u0307": ""})
 
 
 def _same_letters(a: str, b: str) -> bool:
@@ -223,7 +223,7 @@ class Restorer:
                     if new is not None and new not in seen:
                         seen.add(new)
                         following.append(new)
-                        found = not CONTROL.search(new), self.stats.score(new), new
+                        found = self._plausible(new), self.stats.score(new), new
                         if best is None or found > best:
                             best = found
             layer = following[:MAX_READINGS]
@@ -231,6 +231,11 @@ class Restorer:
             return None
         return best[2]
 
+    def _plausible(self, text: str) -> bool:
+        """Without control characters, and of characters that the corpus has or that are
+        letters of its scripts."""
+        return not CONTROL.search(text) and all(c < "\x80" or script(c) in SCRIPTS or self.stats.count(c.lower()) > 0 for c in text)
+
     def _base(self, token: str) -> float:
         """How usual a token is, written so or in its ordinary spelling."""
         plain, odd = spelling(token)
@@ -240,7 +245,7 @@ class Restorer:
     def _token(self, token: str) -> tuple[bool, str, bool]:
         """(is wrongly decoded, restored, wholly restored)."""
         now = self._unlayered(token) or token
-        if now == token and LOST not in token:
+        if LOST not in token:
             plain, odd = spelling(token)
             usual = self.stats.score(plain) if odd and plain else AT_LEAST
             best: tuple[float, str] | None = None
@@ -250,7 +255,7 @@ class Restorer:
                 before, after = self.stats.gain(token, new)
                 if after >= max(before + BETTER, usual, AT_LEAST) and (best is None or after > best[0]):
                     best = after, new
-            if best:
+            if best and (now == token or self.stats.score(best[1]) > self.stats.score(now)):
                 now = best[1]
         broken = LOST in now or bool(CONTROL.search(now))
         return now != token or broken, now, not broken

@@ -58,9 +58,9 @@ IN_WORD = "a α\nk κ\nt τ\ny γ\nn η"
 # Letters of one script that don't count as that script's where they stand alone as a unit.
 UNITS = frozenset("m mm cm dm km kg kN kPa MPa Hz kW".split())
 # Default-ignorable code points outside the general categories Cf and Cc.
-IGNORABLE = "͏ᅟᅠ឴឵᠋᠌᠍᠏ㅤﾠ"
+IGNORABLE = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180f\u3164\uffa0"
 # Fixed value: blanks that no category of space covers.
-OTHER_BLANKS = "\t\v\f\r\x1c\x1d\x1e\x1f\x85  ⠀"
+OTHER_BLANKS = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\u2028\u2029\u2800"
 #: Distinct values whose result is kept by each worker.
 CACHE = 200_000
 
@@ -188,7 +188,7 @@ def spelling(text: str) -> tuple[str, str]:
 def compare_key(text: str) -> str:
     """Equal for texts that look equal but for letter case and runs of blanks: the
     spelling in NFKC, fully case-folded, composed again, the Turkish i's as one letter."""
-    folded = unicodedata.normalize("NFKC", spelling(text)[0]).casefold().replace("i̇", "i").replace("ı", "i")
+    folded = unicodedata.normalize("NFKC", spelling(text)[0]).casefold().replace("i\u0307", "i").replace("ı", "i")
     return re.sub(r" +", " ", unicodedata.normalize("NFKC", folded)).strip()
 
 
