@@ -144,7 +144,7 @@ def _has(words) -> str:
     return "(" + " OR ".join(f"contains(l, '{w}')" for w in words) + ")"
 
 
-@query("a17_region_kinds", f"WITH e AS (SELECT project_id, lower(replace(layer, 'İ', 'i̇')) AS l FROM cad_entities), g AS (SELECT project_id, count(*) AS n, count(*) FILTER ({_has(scalar.FLOOR_WORDS)}) AS f, count(*) FILTER ({_has(scalar.ELEVATION_WORDS)}) AS e, count(*) FILTER ({_has(scalar.SECTION_WORDS)}) AS s, count(*) FILTER ({_has(scalar.ROOF_WORDS)}) AS r FROM e GROUP BY project_id) SELECT project_id, CASE WHEN f / n > 0.15 THEN 'Floor Plan' WHEN e > n * 0.2 THEN 'Elevation' WHEN s > n * 0.2 THEN 'Section' WHEN r > n * 0.2 THEN 'Roof Plan' ELSE 'Other' END AS kind FROM g")
+@query("a17_region_kinds", f"WITH e AS (SELECT project_id, lower(replace(layer, 'İ', 'i\u0307')) AS l FROM cad_entities), g AS (SELECT project_id, count(*) AS n, count(*) FILTER ({_has(scalar.FLOOR_WORDS)}) AS f, count(*) FILTER ({_has(scalar.ELEVATION_WORDS)}) AS e, count(*) FILTER ({_has(scalar.SECTION_WORDS)}) AS s, count(*) FILTER ({_has(scalar.ROOF_WORDS)}) AS r FROM e GROUP BY project_id) SELECT project_id, CASE WHEN f / n > 0.15 THEN 'Floor Plan' WHEN e > n * 0.2 THEN 'Elevation' WHEN s > n * 0.2 THEN 'Section' WHEN r > n * 0.2 THEN 'Roof Plan' ELSE 'Other' END AS kind FROM g")
 def region_kinds(spark, d):
     """The kind of drawing that a project's layers speak for."""
     low = F.lower("layer")

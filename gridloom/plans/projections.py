@@ -265,7 +265,7 @@ def nodes_(spark, d):
 
 
 #: DuckDB's lower() turns the dotted capital I into a plain i; the JVM's keeps the dot.
-_LOWER = "lower(replace(layer, 'İ', 'i̇'))"
+_LOWER = "lower(replace(layer, 'İ', 'i\u0307'))"
 
 
 def _ladder(col: str, steps, other: str) -> str:
