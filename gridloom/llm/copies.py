@@ -10,7 +10,9 @@ from gridloom.session import Scratch
 
 NUMBER = r"[-+]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][-+]?[0-9]+)?"
 #: ASCII letters whose case forms are only each other (no dotted or long forms, no ligature).
-PLAIN_LETTERS = "bcdegmopruvxz"
+PLAIN_LETTERS = ("bcd", "egm", "opruvxz")
+#: Digits counted together: nearly as telling as each by itself, at half the cost.
+DIGIT_GROUPS = ("12", "34", "56", "78", "9")
 FORMATTING = r"[\s\p{Z}\p{P}$+<=>^`|~]"
 
 
@@ -51,14 +53,13 @@ def _count_of(text: Column, chars: str) -> Column:
 
 def cheap_class(scope: list[str], layer: Column, points: list[Column]) -> Column:
     """A hash of invariants that all ways of writing share: the scope, counts of
-    digits and plain letters in the layer, and the histogram of the digits 1 to 9 of
-    each point. A point with an exponent, of which the digits may differ, counts by
+    plain letters in the layer, and the histogram of the digits 1 to 9 of each point. A point with an exponent, of which the digits may differ, counts by
     its number."""
     low = F.lower(layer)
-    parts: list[Column] = [*map(F.col, scope), _count_of(layer, "0123456789"), *[_count_of(low, PLAIN_LETTERS[i : i + 3]) for i in range(0, len(PLAIN_LETTERS), 3)]]
+    parts: list[Column] = [*map(F.col, scope), *[_count_of(low, letters) for letters in PLAIN_LETTERS]]
     for p in points:
         plain = F.when(F.rlike(p, F.lit("[0-9.][eE][-+0-9]")), _spelled(point_key(p))).otherwise(p)
-        parts += [_count_of(plain, str(d)) for d in range(1, 10)]
+        parts += [_count_of(plain, digits) for digits in DIGIT_GROUPS]
     return F.xxhash64(*parts)
 
 
