@@ -262,3 +262,84 @@ def content_hashes(spark, d):
     w = table(spark, d, "core_walls").select("project_id", "uuid", "wall_id").distinct()
     h = F.conv(F.substring(F.md5(F.concat_ws("|", "uuid", C("wall_id").cast("string"))), 1, 15), 16, 10).cast("long")
     return w.groupBy("project_id").agg(count().alias("n"), F.bit_xor(h).alias("seal"))
+
+
+@query("fn16_exact_texts", "SELECT row_id, trim(regexp_replace(nfc_normalize(text), '[ \\t\\n\\r]+', ' ', 'g'), ' ') AS text FROM audit_entities WHERE text IS NOT NULL")
+def exact_texts(spark, d):
+    from gridloom.functions.text import exact_text
+
+    return table(spark, d, "audit_entities").where("text IS NOT NULL").select("row_id", exact_text(C("text")).alias("text"))
+
+
+# Labels of levels.
+LEVELS = {"ground": "Ground Floor", "floor": "Typical Floor", "roof": "Roof Plan"}
+
+
+@query("fn20_level_labels", "SELECT * FROM (VALUES ('ground', 'Ground Floor'), ('floor', 'Typical Floor'), ('roof', 'Roof Plan')) t(level, label)")
+def level_labels(spark, d):
+    names = F.create_map(*[F.lit(x) for kv in LEVELS.items() for x in kv])
+    return spark.createDataFrame([(k,) for k in LEVELS], "level string").select("level", names[C("level")].alias("label"))
+
+
+@query("s10_segmentation_scan", with_(AUDIT) + " SELECT project_id, source_id, entity_type, CASE WHEN entity_type IN ('TEXT', 'MTEXT') THEN 'text' ELSE 'geometry' END AS part, max_x - min_x AS width, max_y - min_y AS height FROM audit WHERE entity_type <> 'INSERT'")
+def segmentation_scan(spark, d):
+    part = F.when(C("entity_type").isin("TEXT", "MTEXT"), "text").otherwise("geometry")
+    return audit(spark, d).where("entity_type <> 'INSERT'").select("project_id", "source_id", "entity_type", part.alias("part"), (C("max_x") - C("min_x")).alias("width"), (C("max_y") - C("min_y")).alias("height"))
+
+
+@query("s22_synthetic", "SELECT kind, n FROM (VALUES ('line', 6000::BIGINT), ('tiny', 2000::BIGINT), ('point', 2000::BIGINT)) t(kind, n)")
+def synthetic(spark, d):
+    return drawings.synthetic(spark, 10_000).groupBy("kind").agg(count().alias("n"))
+
+
+@query("g02_leader_counts")
+def leader_counts(spark, d):
+    """Points left when each one near an earlier leader joins it."""
+    n = nodes(spark, d).dropna(subset=["x", "y"])
+    p = n.select("project_id", F.row_number().over(Window.partitionBy("project_id").orderBy("x", "y", "node_id")).cast("long").alias("pid"), "x", "y")
+    return topology.snap_to_leaders(p, 2000.0).groupBy("project_id").agg(F.count_distinct("leader").alias("n_leaders"), count().alias("n_points"))
+
+
+_TALL = "tall AS (SELECT project_id, uuid, x0 + 300 AS x, greatest(y0, y1) + 7 AS top FROM openings WHERE x0 = x1), flat AS (SELECT project_id, uuid, least(x0, x1) AS a, greatest(x0, x1) AS b, y0 AS y FROM walls WHERE y0 = y1)"
+
+
+@query("g16_axis_extend", with_(WALLS, OPENINGS, _TALL, "k AS (SELECT t.uuid, t.x, f.uuid AS wall, f.y, row_number() OVER (PARTITION BY t.project_id, t.uuid ORDER BY abs(t.top - f.y), f.uuid) AS n FROM tall t JOIN flat f ON f.project_id = t.project_id AND t.x BETWEEN a AND b AND abs(t.top - f.y) > 0 AND abs(t.top - f.y) <= 20)") + " SELECT uuid, wall, y AS new_top FROM k WHERE n = 1")
+def axis_extend(spark, d):
+    """Upright segments whose top ends within 20 of a level wall, extended or cut to it."""
+    t = openings(spark, d).where("x0 = x1").select("project_id", "uuid", (C("x0") + 300).alias("x"), (F.greatest("y0", "y1") + 7).alias("y"))
+    f = with_box(walls(spark, d).where("y0 = y1").select("project_id", "uuid", *SEG))
+    p = box_join(point_box(t, "x", "y"), f, ["project_id"], 5000.0, 20.0).withColumn("gap", F.abs(C("y") - C("r_y0")))
+    p = p.where((C("gap") > 0) & (C("gap") <= 20) & C("x").between(C("r_min_x"), C("r_max_x")))
+    from gridloom.operators.spatial import best
+
+    return best(p, ["project_id", "uuid"], [C("gap"), C("r_uuid")], ["r_uuid", "r_y0"]).select("uuid", C("r_uuid").alias("wall"), C("r_y0").alias("new_top"))
+
+
+@query("c01_sheet_parts", with_(WALLS, "c AS (SELECT project_id, uuid, greatest(y0, y1) AS hi, least(y0, y1) AS lo FROM walls)", "g AS (SELECT *, max(hi) OVER (PARTITION BY project_id ORDER BY lo, hi, uuid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM c)", "p AS (SELECT *, sum(CASE WHEN lo > reach + 2000 THEN 1 ELSE 0 END) OVER (PARTITION BY project_id ORDER BY lo, hi, uuid ROWS UNBOUNDED PRECEDING) AS part FROM g)") + " SELECT project_id, part::INT AS part, count(*) AS n, min(lo) AS lo, max(hi) AS hi FROM p GROUP BY ALL")
+def sheet_parts(spark, d):
+    """A sheet cut into parts at empty bands of more than 2000."""
+    w = Window.partitionBy("project_id").orderBy("lo", "hi", "uuid")
+    c = walls(spark, d).select("project_id", "uuid", F.least("y0", "y1").alias("lo"), F.greatest("y0", "y1").alias("hi"))
+    g = c.withColumn("reach", F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    p = g.withColumn("part", F.sum(F.when(C("lo") > C("reach") + 2000, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    return p.groupBy("project_id", "part").agg(count().alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+@query("c03_title_catalog", with_(AUDIT, f"k AS (SELECT project_id, {_TKEY} AS k FROM audit WHERE audit_role = 'title' AND text IS NOT NULL)", "c AS (SELECT project_id, CASE " + " ".join("WHEN " + " OR ".join(f"contains(k, '{w}')" for w in words) + f" THEN '{name}'" for name, words in TITLES) + " END AS kind FROM k)", "x AS (SELECT k.kind, p.project_id, count(c.kind) AS n FROM (VALUES " + ", ".join(f"('{n}')" for n, _ in TITLES) + ") k(kind) CROSS JOIN (SELECT DISTINCT project_id FROM c) p LEFT JOIN c ON c.project_id = p.project_id AND c.kind = k.kind GROUP BY ALL)") + " SELECT project_id, count(*) FILTER (n = 0) AS n_missing, count(*) FILTER (n > 1) AS n_double, CASE WHEN count(*) FILTER (n <> 1) = 0 THEN 'ok' ELSE 'title_catalog_mismatch' END AS state FROM x GROUP BY project_id")
+def title_catalog(spark, d):
+    """Whether a project has each kind of title once."""
+    k = audit(spark, d).where("audit_role = 'title' AND text IS NOT NULL").select("project_id", scalar.ladder(scalar.match_key(C("text")), TITLES, None).alias("kind"))
+    names = [n for n, _ in TITLES]
+    g = k.groupBy("project_id").agg(*[F.count_if(C("kind") == n).alias(f"k_{n}") for n in names])
+    total = lambda f: sum((f(C(f"k_{n}")).cast("long") for n in names[1:]), f(C(f"k_{names[0]}")).cast("long"))
+    g = g.withColumns({"n_missing": total(lambda c: c == 0), "n_double": total(lambda c: c > 1)})
+    return g.select("project_id", "n_missing", "n_double", F.when((C("n_missing") == 0) & (C("n_double") == 0), "ok").otherwise("title_catalog_mismatch").alias("state"))
+
+
+@query("c05_separators", with_(WALLS, "e AS (SELECT project_id, min(least(x0, x1)) AS a, max(greatest(x0, x1)) AS b, (min(least(y0, y1)) + max(greatest(y0, y1))) / 2 AS mid FROM walls GROUP BY project_id)", "k AS (SELECT w.project_id, w.uuid, row_number() OVER (PARTITION BY w.project_id ORDER BY abs(w.y0 - mid), w.uuid) AS n FROM walls w JOIN e USING (project_id) WHERE w.y0 = w.y1 AND abs(w.x1 - w.x0) >= 0.2::DOUBLE * (b - a))") + " SELECT project_id, uuid FROM k WHERE n = 1")
+def separators(spark, d):
+    """The level wall of some width that lies nearest to the middle of its sheet."""
+    w = walls(spark, d)
+    e = w.groupBy("project_id").agg(F.min(F.least("x0", "x1")).alias("a"), F.max(F.greatest("x0", "x1")).alias("b"), ((F.min(F.least("y0", "y1")) + F.max(F.greatest("y0", "y1"))) / 2).alias("mid"))
+    k = w.where("y0 = y1").join(e, "project_id").where(F.abs(C("x1") - C("x0")) >= F.lit(0.2) * (C("b") - C("a")))
+    return k.groupBy("project_id").agg(F.min_by("uuid", F.struct(F.abs(C("y0") - C("mid")), "uuid")).alias("uuid"))
