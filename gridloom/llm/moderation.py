@@ -24,7 +24,10 @@ WINDOW, STRIDE = 20, 10
 WORD_SLOTS, GRAM_SLOTS = 1 << 14, 1 << 14
 WORD_DIM, GRAM_DIM, HIDDEN = 20, 28, 24
 #: Labelled documents of each kind that the network is fitted on at most, and the longest text among them.
-MAX_ABUSIVE, MAX_OTHER, MAX_CHARS = 1_500, 4_500, 20_000
+MAX_ABUSIVE, MAX_OTHER, MAX_CHARS = 1_500, 9_000, 10_000
+#: Log odds of its words that a window needs to stand for the label: about three words or
+#: word pairs seen in three abusive documents and no other.
+EVIDENCE = 4.0
 #: Windows of no label that an epoch draws at least.
 EPOCH_WINDOWS = 10_000
 THRESHOLD = 0.8
@@ -277,13 +280,16 @@ def _first_guess(docs: list[np.ndarray], labels: np.ndarray, ends: frozenset[int
     return [np.array([sum(sorted((max(0.0, known.get(f, 0.0)) for f in w), reverse=True)[:3]) for w in fs]) for fs in per]
 
 
-def _fit(words: Words, x: np.ndarray, pos: np.ndarray, neg: np.ndarray, epochs: int, seed: int) -> Network:
-    """A network fitted on windows x[pos] against x[neg], of which each epoch draws others."""
+def _fit(words: Words, x: np.ndarray, pos: np.ndarray, neg: np.ndarray, epochs: int, seed: int, hard: np.ndarray | None = None) -> Network:
+    """A network fitted on windows x[pos] against x[neg], of which each epoch draws others,
+    and x[hard], of which each epoch takes all."""
     rng = np.random.default_rng(seed)
     net = Network(seed=seed)
     adam = Adam(net.p)
     for epoch in range(epochs):
         some = rng.permutation(neg)[: max(EPOCH_WINDOWS, 4 * len(pos))]
+        if hard is not None:
+            some = np.concatenate([some, rng.permutation(hard)[:EPOCH_WINDOWS]])
         rows = rng.permutation(np.concatenate([np.repeat(pos, max(1, min(8, len(some) // max(1, 4 * len(pos))))), some]))
         if epoch == epochs - 2:
             adam.rate /= 4
@@ -329,23 +335,26 @@ def train(texts: list[str], labels: np.ndarray, passes: int = 3, folds: int = 2,
     ends = frozenset(words.number[f] for f in (".", "!", '"', "0") if f in words.number)
     guess = np.concatenate(_first_guess(docs, labels, ends))
     top = np.repeat(np.maximum.reduceat(guess, starts), sizes)
-    pos = abusive & (guess >= np.maximum(top * 0.9, 2.0))
-    neg = ~abusive & (top < 8.0)
+    pos = abusive & (guess >= np.maximum(top * 0.9, EVIDENCE))
+    neg = ~abusive & (top < 2 * EVIDENCE)
+    hard = np.zeros(len(x), bool)
     for k in range(passes):
         prob = np.zeros(len(x), np.float32)
         for f in range(folds):
             a, b = np.flatnonzero(pos & (fold != f)), np.flatnonzero(neg & (fold != f))
             if len(a) and len(b):
-                net = _fit(words, x, a, b, epochs, seed + 10 * k + f)
+                net = _fit(words, x, a, b, epochs, seed + 10 * k + f, np.flatnonzero(hard & (fold != f)))
                 held = np.flatnonzero(fold == f)
                 prob[held] = scores(net, net.projected(net.vectors(net.inputs(words.forms))), x[held])
         top = np.repeat(np.maximum.reduceat(prob, starts), sizes)
-        if not (abusive & (top >= 0.9)).any():
+        if not (abusive & (top >= 0.9) & (guess >= EVIDENCE)).any():
             break
-        pos = abusive & (top >= 0.9) & (prob >= 0.9 * top)
+        pos = abusive & (top >= 0.9) & (prob >= 0.9 * top) & (guess >= EVIDENCE)
         neg = (~abusive & (top < 0.9)) | (abusive & (top >= 0.8) & (prob < 0.02))
-    # The few wrongly unlabelled documents matter less here than ordinary sentences taken for abusive ones.
-    return _fit(words, x, np.flatnonzero(pos), np.flatnonzero(neg | ~abusive), epochs + 2, seed)
+        # Ordinary sentences taken for abusive ones are shown in every epoch. A window that has both
+        # a high score and the words for it is mostly an abusive one without its label.
+        hard = ~abusive & (prob >= 0.03) & (guess < EVIDENCE)
+    return _fit(words, x, np.flatnonzero(pos), np.flatnonzero(neg | (~abusive & (guess < EVIDENCE))), epochs + 2, seed, np.flatnonzero(hard))
 
 
 def scores(net: Network, proj: dict[str, np.ndarray], x: np.ndarray, batch: int = 2048) -> np.ndarray:
