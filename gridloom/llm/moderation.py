@@ -30,7 +30,7 @@ MAX_ABUSIVE, MAX_OTHER, MAX_CHARS = 1_500, 9_000, 10_000
 EVIDENCE = 4.0
 #: Windows of no label that an epoch draws at least.
 EPOCH_WINDOWS = 10_000
-THRESHOLD = 0.8
+THRESHOLD = 0.5
 SEED = 11
 #: Distinct raw words whose form each worker keeps.
 CACHE = 200_000
@@ -282,15 +282,15 @@ def _first_guess(docs: list[np.ndarray], labels: np.ndarray, ends: frozenset[int
 
 def _fit(words: Words, x: np.ndarray, pos: np.ndarray, neg: np.ndarray, epochs: int, seed: int, hard: np.ndarray | None = None) -> Network:
     """A network fitted on windows x[pos] against x[neg], of which each epoch draws others,
-    and x[hard], of which each epoch takes all."""
+    and x[hard], which count as often as x[pos], so that a sentence is scored by how often it
+    is labelled so."""
     rng = np.random.default_rng(seed)
     net = Network(seed=seed)
     adam = Adam(net.p)
     for epoch in range(epochs):
         some = rng.permutation(neg)[: max(EPOCH_WINDOWS, 4 * len(pos))]
-        if hard is not None:
-            some = np.concatenate([some, rng.permutation(hard)[:EPOCH_WINDOWS]])
-        rows = rng.permutation(np.concatenate([np.repeat(pos, max(1, min(8, len(some) // max(1, 4 * len(pos))))), some]))
+        times = max(1, min(8, len(some) // max(1, 4 * len(pos))))
+        rows = rng.permutation(np.concatenate([np.repeat(pos, times), np.repeat(rng.permutation(hard)[: 4 * EPOCH_WINDOWS // times], times) if hard is not None else some[:0], some]))
         if epoch == epochs - 2:
             adam.rate /= 4
         for at in range(0, len(rows), 256):
@@ -341,7 +341,7 @@ def train(texts: list[str], labels: np.ndarray, passes: int = 3, folds: int = 2,
     for k in range(passes):
         prob = np.zeros(len(x), np.float32)
         for f in range(folds):
-            a, b = np.flatnonzero(pos & (fold != f)), np.flatnonzero(neg & (fold != f))
+            a, b = np.flatnonzero(pos & (fold != f)), np.flatnonzero(neg & ~hard & (fold != f))
             if len(a) and len(b):
                 net = _fit(words, x, a, b, epochs, seed + 10 * k + f, np.flatnonzero(hard & (fold != f)))
                 held = np.flatnonzero(fold == f)
@@ -351,10 +351,10 @@ def train(texts: list[str], labels: np.ndarray, passes: int = 3, folds: int = 2,
             break
         pos = abusive & (top >= 0.9) & (prob >= 0.9 * top) & (guess >= EVIDENCE)
         neg = (~abusive & (top < 0.9)) | (abusive & (top >= 0.8) & (prob < 0.02))
-        # Ordinary sentences taken for abusive ones are shown in every epoch. A window that has both
-        # a high score and the words for it is mostly an abusive one without its label.
-        hard = ~abusive & (prob >= 0.03) & (guess < EVIDENCE)
-    return _fit(words, x, np.flatnonzero(pos), np.flatnonzero(neg | (~abusive & (guess < EVIDENCE))), epochs + 2, seed, np.flatnonzero(hard))
+        # Windows of other documents that look abusive: ordinary sentences, and some abusive ones
+        # without their label.
+        hard = ~abusive & (prob >= 0.03)
+    return _fit(words, x, np.flatnonzero(pos), np.flatnonzero(neg & ~hard), epochs + 2, seed, np.flatnonzero(hard))
 
 
 def scores(net: Network, proj: dict[str, np.ndarray], x: np.ndarray, batch: int = 2048) -> np.ndarray:
