@@ -153,6 +153,14 @@ class Network:
         sizes = np.array([len(x) for x in per], np.int64)
         return {"word": word, "gram": np.concatenate([np.array(x, np.int64) for x in per]), "starts": np.r_[0, np.cumsum(sizes)[:-1]], "sizes": sizes}
 
+    @staticmethod
+    def some(i: dict, rows: np.ndarray) -> dict:
+        """The slots of some of the forms."""
+        sizes = i["sizes"][rows]
+        starts = np.r_[0, np.cumsum(sizes)[:-1]]
+        at = np.repeat(i["starts"][rows] - starts, sizes) + np.arange(sizes.sum())
+        return {"word": i["word"][rows], "gram": i["gram"][at], "starts": starts, "sizes": sizes}
+
     def vectors(self, i: dict) -> np.ndarray:
         chars = np.add.reduceat(self.p["gram"][i["gram"]], i["starts"], axis=0) / np.sqrt(i["sizes"])[:, None].astype(np.float32)
         return np.concatenate([self.p["word"][i["word"]], chars], axis=1)
@@ -280,7 +288,7 @@ def _first_guess(docs: list[np.ndarray], labels: np.ndarray, ends: frozenset[int
     return [np.array([sum(sorted((max(0.0, known.get(f, 0.0)) for f in w), reverse=True)[:3]) for w in fs]) for fs in per]
 
 
-def _fit(words: Words, x: np.ndarray, pos: np.ndarray, neg: np.ndarray, epochs: int, seed: int, hard: np.ndarray | None = None) -> Network:
+def _fit(slots: dict, x: np.ndarray, pos: np.ndarray, neg: np.ndarray, epochs: int, seed: int, hard: np.ndarray | None = None) -> Network:
     """A network fitted on windows x[pos] against x[neg], of which each epoch draws others,
     and x[hard], which count as often as x[pos], so that a sentence is scored by how often it
     is labelled so."""
@@ -300,7 +308,7 @@ def _fit(words: Words, x: np.ndarray, pos: np.ndarray, neg: np.ndarray, epochs:
             if used[0] != 0:  # 0 is padding everywhere
                 used, local = np.r_[0, used], local + 1
             goal = np.isin(part, pos).astype(np.float32)
-            g, _ = net.gradient(net.inputs([words.forms[u] for u in used]), local, goal, np.ones(len(part), np.float32), rng)
+            g, _ = net.gradient(net.some(slots, used), local, goal, np.ones(len(part), np.float32), rng)
             norm = math.sqrt(sum(float(np.square(v[1] if isinstance(v, tuple) else v).sum()) for v in g.values()))
             if norm > 5:
                 g = {n: (v[0], v[1] * (5 / norm)) if isinstance(v, tuple) else v * (5 / norm) for n, v in g.items()}
@@ -326,6 +334,7 @@ def train(texts: list[str], labels: np.ndarray, passes: int = 3, folds: int = 2,
         net.p["wo"][:] = 0
         net.p["bo"][:] = -10
         return net
+    slots = Network(seed=seed).inputs(words.forms)
     x = np.concatenate(docs)
     sizes = np.array([len(d) for d in docs])
     owner = np.repeat(np.arange(len(docs)), sizes)
@@ -343,9 +352,9 @@ def train(texts: list[str], labels: np.ndarray, passes: int = 3, folds: int = 2,
         for f in range(folds):
             a, b = np.flatnonzero(pos & (fold != f)), np.flatnonzero(neg & ~hard & (fold != f))
             if len(a) and len(b):
-                net = _fit(words, x, a, b, epochs, seed + 10 * k + f, np.flatnonzero(hard & (fold != f)))
+                net = _fit(slots, x, a, b, epochs, seed + 10 * k + f, np.flatnonzero(hard & (fold != f)))
                 held = np.flatnonzero(fold == f)
-                prob[held] = scores(net, net.projected(net.vectors(net.inputs(words.forms))), x[held])
+                prob[held] = scores(net, net.projected(net.vectors(slots)), x[held])
         top = np.repeat(np.maximum.reduceat(prob, starts), sizes)
         if not (abusive & (top >= 0.9) & (guess >= EVIDENCE)).any():
             break
@@ -354,7 +363,7 @@ def train(texts: list[str], labels: np.ndarray, passes: int = 3, folds: int = 2,
         # Windows of other documents that look abusive: ordinary sentences, and some abusive ones
         # without their label.
         hard = ~abusive & (prob >= 0.03)
-    return _fit(words, x, np.flatnonzero(pos), np.flatnonzero(neg & ~hard), epochs + 2, seed, np.flatnonzero(hard))
+    return _fit(slots, x, np.flatnonzero(pos), np.flatnonzero(neg & ~hard), epochs + 2, seed, np.flatnonzero(hard))
 
 
 def scores(net: Network, proj: dict[str, np.ndarray], x: np.ndarray, batch: int = 2048) -> np.ndarray:
