@@ -175,9 +175,10 @@ def interval_union(spark, d):
 
 @query("g06_t_snaps")
 def t_snaps(spark, d):
-    """Openings' axes beside walls, snapped onto them, with the cuts that the walls get."""
-    shifted = openings(spark, d).select("project_id", "uuid", *[(C(c) + 2).alias(c) for c in SEG])
-    moved, splits = topology.snap_t_junctions(walls(spark, d).select("project_id", "uuid", *SEG).unionByName(shifted), 5.0)
+    """Spurs that begin 3 beside a wall, snapped onto it, with the cuts that walls get."""
+    mx, my = (C("x0") + C("x1")) / 2, (C("y0") + C("y1")) / 2
+    spurs = openings(spark, d).select("project_id", "uuid", (mx + 3).alias("x0"), (my + 3).alias("y0"), (mx + 803).alias("x1"), (my + 803).alias("y1"))
+    moved, splits = topology.snap_t_junctions(walls(spark, d).select("project_id", "uuid", *SEG).unionByName(spurs), 5.0)
     return splits.select("project_id", "uuid", q(C("x"), 3).alias("x"), q(C("y"), 3).alias("y"))
 
 

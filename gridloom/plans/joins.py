@@ -110,7 +110,11 @@ def nearest_flags(spark, d):
     return got.select("uuid", "wall_uuid", q(C("distance"), 3).alias("distance"), "parallel", "perpendicular")
 
 
-@query("fn23_element_kinds")
+_HINT = "coalesce(contains(lower(o.layer), 'kapı') OR contains(lower(o.layer), 'kapi') OR contains(lower(o.layer), 'door'), false) AS dl, coalesce(contains(lower(o.layer), 'pencere') OR contains(lower(o.layer), 'window'), false) AS wl"
+_RULES = "r AS (SELECT *, CASE WHEN near AND sized AND per THEN ('Door', 0.85::DOUBLE) WHEN near AND sized AND par AND wl THEN ('Window', 0.9) WHEN near AND sized AND par AND dl THEN ('Door', 0.9) WHEN near AND sized THEN ('Unknown', 0.5) WHEN near AND len > 400 AND par THEN ('Unknown', 0.6) WHEN near AND len > 400 THEN ('Unknown', 0.5) ELSE ('Unknown', 1.0) END AS k FROM f)"
+
+
+@query("fn23_element_kinds", _FLAGS + f", f AS (SELECT o.uuid, o.width / 4 AS len, {_HINT}, coalesce(g.b[1] < 50, false) AS near, o.width / 4 BETWEEN 40 AND 400 AS sized, coalesce(parallel, false) AS par, coalesce(perpendicular, false) AS per FROM openings o LEFT JOIN g ON g.project_id = o.project_id AND g.uuid = o.uuid), " + _RULES + " SELECT uuid, CASE WHEN k[1] = 'Unknown' AND dl THEN 'Door' WHEN k[1] = 'Unknown' AND wl THEN 'Window' ELSE k[1] END AS kind, CASE WHEN k[1] = 'Unknown' AND (dl OR wl) THEN 0.6 ELSE k[2] END::DOUBLE AS confidence FROM r")
 def element_kinds(spark, d):
     """Kinds of elements by the ordered rules on distance, direction, size and layer."""
     o = openings(spark, d)

@@ -75,11 +75,16 @@ places AS (
 chosen AS (SELECT * EXCLUDE (p), list_filter(p, lambda x: x IS NOT NULL AND json_type(x) <> 'NULL')[1] AS v FROM places WHERE json_type(o) = 'OBJECT'),
 kids AS (SELECT record_id, owner_kind, owner_ord, child_kind, json_extract(v, '$[*]') AS c FROM chosen WHERE json_type(v) = 'ARRAY'),
 flat AS (SELECT record_id, owner_kind, owner_ord, child_kind, unnest(c) AS item, unnest(range(len(c))) AS child_ord FROM kids)
-SELECT record_id, owner_kind, owner_ord::INT AS owner_ord, child_kind, child_ord::INT AS child_ord FROM flat WHERE json_type(item) <> 'NULL'
 """
 
+_NUMBER = "CASE WHEN json_type({v}) IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT') THEN ({v}->>'$')::DOUBLE END"
+_AXIS = "CASE json_type(item) WHEN 'ARRAY' THEN " + _NUMBER.format(v="json_extract(item, '$[{k}]')") + " WHEN 'OBJECT' THEN " + _NUMBER.format(v="json_extract(item, '$.{n}')") + " END"
+_TEXT = "CASE WHEN json_type(json_extract(o, '$.{n}')) NOT IN ('ARRAY', 'OBJECT', 'NULL') THEN json_extract(o, '$.{n}')->>'$' END"
+
 ORACLES = {
-    "p1_found": _P1_PARTS,
+    "p1_found": _P1_PARTS + "SELECT record_id, owner_kind, owner_ord::INT AS owner_ord, child_kind, child_ord::INT AS child_ord FROM flat WHERE json_type(item) <> 'NULL'",
+    "p1_points": _P1_PARTS + "SELECT record_id, owner_kind, owner_ord::INT AS owner_ord, child_ord::INT AS child_ord, " + ", ".join(f"{_AXIS.format(k=k, n=n)} AS {n}" for k, n in enumerate("xyz")) + " FROM flat WHERE child_kind = 'point' AND json_type(item) <> 'NULL'",
+    "p1_owners": _P1_PARTS + "SELECT record_id, owner_kind, owner_ord::INT AS owner_ord, " + ", ".join(f"{_TEXT.format(n=n)} AS {n}" for n in ("uuid", "type", "thickness", "area", "area_raw", "edge_id")) + " FROM owners WHERE json_type(o) = 'OBJECT'",
     "p5_found": _P5 + "SELECT field_name, owner_uuid, target_key FROM gone",
     "p5_report": _P5 + "SELECT field_name, strftime(l, '%Y-%m') AS period, count(*) AS n_orphans FROM gone GROUP BY ALL",
 }
