@@ -7,15 +7,15 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions import arrays, scalar
+from gridloom.functions import scalar
 from gridloom.functions.scalar import q
 from gridloom.operators import topology
-from gridloom.operators.graph import components, neighbours, prune
+from gridloom.operators.graph import components, prune
 from gridloom.operators.orphans import reference_key
-from gridloom.operators.spatial import best, box_join, point_box
+from gridloom.operators.spatial import box_join, point_box
 from gridloom.plans.aggregates import _DEG, degrees
 from gridloom.plans.base import AUDIT, EDGES, NODES, OPENINGS, SIDES, SPACES, WALLS, audit, edges, nodes, openings, spaces, sq, walls, with_
-from gridloom.plans.joins import _BRIDGE, _DANGLING, _pt, bridge, dangling
+from gridloom.plans.joins import _BRIDGE, _DANGLING, bridge, dangling
 from gridloom.session import table
 
 QUERIES: dict = {}

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import arrays, scalar
 from gridloom.functions.scalar import q
 from gridloom.operators import matching
-from gridloom.operators.graph import neighbours
 from gridloom.operators.orphans import reference_key
 from gridloom.operators.spatial import best, box_join, nearest, point_box, with_box
 from gridloom.plans.base import AUDIT, EDGES, NODES, OPENINGS, SIDES, SPACES, WALLS, audit, edges, nodes, openings, space_sides, spaces, sq, walls, with_

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import arrays, scalar
 from gridloom.functions.scalar import q
 from gridloom.operators import matching, topology
 from gridloom.operators.graph import components
-from gridloom.operators.orphans import reference_key
 from gridloom.operators.spatial import box_join, nearest, point_box, with_box
-from gridloom.plans.base import AUDIT, EDGES, NODES, OPENINGS, SIDES, SPACES, WALLS, audit, edges, nodes, openings, space_sides, spaces, sq, walls, with_
+from gridloom.plans.base import AUDIT, EDGES, NODES, OPENINGS, SIDES, SPACES, WALLS, audit, nodes, openings, space_sides, spaces, sq, walls, with_
 from gridloom.plans.graphs import _CC, _STRUCT, _REG, _faces, graph_components, recursive, regions
 from gridloom.plans.joins import _BRIDGE, _pt, bridge
 from gridloom.session import Scratch, table
