@@ -87,9 +87,7 @@ TO_IN_WORD = {"LATIN": {g: c for c, g in (x.split() for x in IN_WORD.split("\n")
 @lru_cache(65_536)
 def script(c: str) -> str:
     """LATIN, CYRILLIC, GREEK or OTHER of a letter; empty for what is no letter."""
-    if not c.isalpha() or c in "ªº":
-        return ""
-    if c == "µ":
+    if not c.isalpha() or c in "\u00aa\u00ba\u00b5":
         return ""
     name = unicodedata.name(c, "").split(" ", 1)[0]
     return name if name in SCRIPTS else "OTHER"
@@ -100,6 +98,8 @@ def shape(c: str) -> tuple[str, str]:
     """What becomes of one character, and why: '' (ordinary), 'invisible', 'blank', 'form'."""
     if c < "\x7f" and c not in OTHER_BLANKS and (c >= " " or c == "\n"):
         return c, ""
+    if c == "\u00b5":  # the micro sign is a sign
+        return c, ""
     kind = unicodedata.category(c)
     if c in OTHER_BLANKS or (kind == "Zs" and c != " "):
         return " ", "blank"

@@ -89,6 +89,7 @@ def test_restore_rows(spark, judge):
     ("a\xa0b\u2009c\u3000d", "a b c d", "blank"),
     ("a\tb", "a b", "blank"),
     ("5 m² ±2 Ø16 30° 1.º", "5 m² ±2 Ø16 30° 1.º", ""),
+    ("20 \u00b5m", "20 \u00b5m", ""),
     ("", "", ""),
     ("\u200b", "", "invisible"),
 ])
