@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -150,6 +151,40 @@ def test_components_match_a_search(spark):
     assert {(r.s, r.n): r.component for r in got.collect()} == {x: root(x)[1] for x in nodes}
 
 
+def test_prune_takes_long_chains_whole(spark):
+    rng = random.Random(11)
+    path = [("long", i, i + 1) for i in range(5000)]
+    ring = [("ring", i, (i + 1) % 300) for i in range(300)] + [("ring", 1000 + i, 1001 + i) for i in range(2000)] + [("ring", 3000, 7)]
+    comb = [("comb", i, i + 1) for i in range(400)] + [("comb", i, 1000 + i) for i in range(401)]
+    some = sorted({("some", min(e), max(e)) for e in ((rng.randrange(150), rng.randrange(150)) for _ in range(170)) if e[0] != e[1]})
+    rows = path + ring + comb + some
+    left = set(rows)
+    while True:
+        k = Counter(x for s, a, b in left for x in ((s, a), (s, b)))
+        rest = {(s, a, b) for s, a, b in left if k[s, a] > 1 and k[s, b] > 1}
+        if rest == left:
+            break
+        left = rest
+    got = graph.prune(spark.createDataFrame(rows, "project_id string, a long, b long"))
+    assert sorted(map(tuple, got.collect())) == sorted(left) and {s for s, *_ in left} == {"ring", "some"}
+
+
+@pytest.mark.parametrize("block", [50_000, 100])
+def test_leaders_of_long_chains(spark, block, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK", block)
+    rng = random.Random(13)
+    n = 5000 if block > 100 else 700
+    pairs = [("p", i, j) for i in range(n) for j in range(i + 1, min(n, i + rng.choice((2, 2, 2, 4))))]
+    before, leads = {}, set()
+    for _, a, b in pairs:
+        before.setdefault(b, []).append(a)
+    for i in range(n):
+        if not leads.intersection(before.get(i, ())):
+            leads.add(i)
+    got = graph.first_leaders(spark.createDataFrame([("p", i) for i in range(n)], "project_id string, pid long"), spark.createDataFrame(pairs, "project_id string, a long, b long"), ["project_id", "pid"])
+    assert {r.pid for r in got.where("is_leader").collect()} == leads and got.count() == n
+
+
 def test_greedy_matches(spark):
     pairs = [("p", "a", "x", 1.0), ("p", "a", "y", 2.0), ("p", "b", "x", 0.5), ("p", "c", "y", 2.0)]
     got = matching.greedy_matches(spark.createDataFrame(pairs, "project_id string, l string, r string, gap double"), ["project_id"], "l", "r", ["gap"])
