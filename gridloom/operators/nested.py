@@ -310,3 +310,60 @@ def model_points(models: DataFrame) -> DataFrame:
     fields = {"kind": F.when((F.col("path") == "[].point[]") & (F.col("kind") != "null"), F.col("kind")), "x": axis("x", 0), "y": axis("y", 1), "z": axis("z", 2)}
     wide = pivot_group(triples, "record_id", 2, fields)
     return wide.where(F.col("kind").isNotNull()).select("record_id", _owner_kind().alias("owner_kind"), F.col("pos_1").alias("owner_ord"), F.col("pos_2").alias("child_ord"), "x", "y", "z")
+
+
+REFERENCE_KINDS = ("related_space", "related_wall", "neighbor")
+
+
+def _scalar(path: str) -> Column:
+    return F.when((F.col("path") == path) & F.col("kind").isin("string", "number", "boolean"), F.col("value"))
+
+
+def model_references(models: DataFrame) -> DataFrame:
+    """One row for each non-null item of a list of references, with its value. The items
+    are those of model_children; one that is itself a list or an object has a null value."""
+    triples = to_triples(models, "record_id", MODEL_COLUMNS, keep=[f"[].{k}[]" for k in REFERENCE_KINDS])
+    group = triples.where(F.col("kind") != "null").select("record_id", _owner_kind().alias("owner_kind"), F.col("ordinals")[0].alias("owner_ord"), F.regexp_extract("path", r"^\[\]\.(\w+)\[\]$", 1).alias("child_kind"), F.col("ordinals")[1].alias("child_ord"), "value")
+    return group.groupBy("record_id", "owner_kind", "owner_ord", "child_kind", "child_ord").agg(F.max("value").alias("value"))
+
+
+def _group(models: DataFrame, path: str, depth: int, fields: Mapping[str, Column], more: Sequence[str] = ()) -> DataFrame:
+    """One row for each non-null item of the repeated group at `path`."""
+    triples = to_triples(models, "record_id", MODEL_COLUMNS, keep=[path, *more])
+    wide = pivot_group(triples, "record_id", depth, {"_kind": F.when(F.col("path") == path, F.col("kind"))} | dict(fields))
+    return wide.where(F.col("_kind") != "null").withColumn("owner_kind", _owner_kind()).withColumnRenamed("pos_1", "owner_ord")
+
+
+def model_ancestry(models: DataFrame) -> DataFrame:
+    """One row for each non-null block name in an owner's source.ancestry."""
+    path = "[].source.ancestry[]"
+    return _group(models, path, 2, {"value": _scalar(path)}).select("record_id", "owner_kind", "owner_ord", F.col("pos_2").alias("child_ord"), "value")
+
+
+def model_finishes(models: DataFrame) -> DataFrame:
+    """One row for each non-null item of an owner's tags.finish; one that is no object has null fields."""
+    path = "[].tags.finish[]"
+    fields = {n: _scalar(f"{path}.{n}") for n in ("mat", "layer")}
+    return _group(models, path, 2, fields, [f"{path}.{n}" for n in fields]).select("record_id", "owner_kind", "owner_ord", F.col("pos_2").alias("child_ord"), *fields)
+
+
+def model_holes(models: DataFrame) -> DataFrame:
+    """One row for each non-null point of each ring in an owner's geometry.holes."""
+    path = "[].geometry.holes[][]"
+    def axis(name: str, k: int) -> Column:
+        here = (F.col("path") == f"{path}.{name}") | ((F.col("path") == f"{path}[]") & (F.get("ordinals", F.lit(3)) == k))
+        return F.when(here & (F.col("kind") == "number"), F.col("value").try_cast("double"))
+    fields = {n: axis(n, k) for k, n in enumerate("xyz")}
+    return _group(models, path, 3, fields, [f"{path}[]", *(f"{path}.{n}" for n in fields)]).select("record_id", "owner_kind", "owner_ord", F.col("pos_2").alias("hole_ord"), F.col("pos_3").alias("child_ord"), *fields)
+
+
+#: Scalar fields one level below an owner.
+DETAILS = {"source_layer": "source.layer", "source_block": "source.block", "tags_use": "tags.use", "geometry_length": "geometry.length"}
+
+
+def model_details(models: DataFrame) -> DataFrame:
+    """One row for each wall and space that is an object, with the scalar fields of its own objects."""
+    fields = {n: _scalar(f"[].{p}") for n, p in DETAILS.items()}
+    triples = to_triples(models, "record_id", MODEL_COLUMNS, keep=["[]", *(f"[].{p}" for p in DETAILS.values())])
+    wide = pivot_group(triples, "record_id", 1, {"_kind": F.when(F.col("path") == "[]", F.col("kind"))} | fields)
+    return wide.where(F.col("_kind") == "object").select("record_id", _owner_kind().alias("owner_kind"), F.col("pos_1").alias("owner_ord"), *fields)

@@ -21,6 +21,26 @@ def p1_points(spark: SparkSession, d: str) -> DataFrame:
     return nested.model_points(table(spark, d, "bim_model"))
 
 
+def p1_references(spark: SparkSession, d: str) -> DataFrame:
+    return nested.model_references(table(spark, d, "bim_model"))
+
+
+def p1_ancestry(spark: SparkSession, d: str) -> DataFrame:
+    return nested.model_ancestry(table(spark, d, "bim_model"))
+
+
+def p1_finishes(spark: SparkSession, d: str) -> DataFrame:
+    return nested.model_finishes(table(spark, d, "bim_model"))
+
+
+def p1_holes(spark: SparkSession, d: str) -> DataFrame:
+    return nested.model_holes(table(spark, d, "bim_model"))
+
+
+def p1_details(spark: SparkSession, d: str) -> DataFrame:
+    return nested.model_details(table(spark, d, "bim_model"))
+
+
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     return orphans.model_orphans(table(spark, d, "core_walls"), table(spark, d, "core_spaces"), table(spark, d, "core_openings"))
 
@@ -33,7 +53,7 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(_orphans(spark, d)).select("field_name", "period", F.col("n_orphans"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_owners": p1_owners, "p1_points": p1_points, "p5_found": p5_found, "p5_report": p5_report}
+QUERIES = {"p1_found": p1_found, "p1_owners": p1_owners, "p1_points": p1_points, "p1_references": p1_references, "p1_ancestry": p1_ancestry, "p1_finishes": p1_finishes, "p1_holes": p1_holes, "p1_details": p1_details, "p5_found": p5_found, "p5_report": p5_report}
 
 _P5 = """
 WITH raw AS (
@@ -80,11 +100,20 @@ flat AS (SELECT record_id, owner_kind, owner_ord, child_kind, unnest(c) AS item,
 _NUMBER = "CASE WHEN json_type({v}) IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT') THEN ({v}->>'$')::DOUBLE END"
 _AXIS = "CASE json_type(item) WHEN 'ARRAY' THEN " + _NUMBER.format(v="json_extract(item, '$[{k}]')") + " WHEN 'OBJECT' THEN " + _NUMBER.format(v="json_extract(item, '$.{n}')") + " END"
 _TEXT = "CASE WHEN json_type(json_extract(o, '$.{n}')) NOT IN ('ARRAY', 'OBJECT', 'NULL') THEN json_extract(o, '$.{n}')->>'$' END"
+_VALUE = "CASE WHEN json_type({v}) NOT IN ('ARRAY', 'OBJECT', 'NULL') THEN {v}->>'$' END"
+_KEYS = "SELECT record_id, owner_kind, owner_ord::INT AS owner_ord, "
+#: Items of a list below an object of an owner.
+_BELOW = "SELECT record_id, owner_kind, owner_ord, unnest(json_extract(o, '{p}[*]')) AS item, unnest(range(len(json_extract(o, '{p}[*]')))) AS child_ord FROM owners WHERE json_type(json_extract(o, '{p}')) = 'ARRAY'"
 
 ORACLES = {
     "p1_found": _P1_PARTS + "SELECT record_id, owner_kind, owner_ord::INT AS owner_ord, child_kind, child_ord::INT AS child_ord FROM flat WHERE json_type(item) <> 'NULL'",
     "p1_points": _P1_PARTS + "SELECT record_id, owner_kind, owner_ord::INT AS owner_ord, child_ord::INT AS child_ord, " + ", ".join(f"{_AXIS.format(k=k, n=n)} AS {n}" for k, n in enumerate("xyz")) + " FROM flat WHERE child_kind = 'point' AND json_type(item) <> 'NULL'",
     "p1_owners": _P1_PARTS + "SELECT record_id, owner_kind, owner_ord::INT AS owner_ord, " + ", ".join(f"{_TEXT.format(n=n)} AS {n}" for n in ("uuid", "type", "thickness", "area", "area_raw", "edge_id")) + " FROM owners WHERE json_type(o) = 'OBJECT'",
+    "p1_references": _P1_PARTS + _KEYS + f"child_kind, child_ord::INT AS child_ord, {_VALUE.format(v='item')} AS value FROM flat WHERE child_kind <> 'point' AND json_type(item) <> 'NULL'",
+    "p1_ancestry": _P1_PARTS + f", g AS ({_BELOW.format(p='$.source.ancestry')}) " + _KEYS + f"child_ord::INT AS child_ord, {_VALUE.format(v='item')} AS value FROM g WHERE json_type(item) <> 'NULL'",
+    "p1_finishes": _P1_PARTS + f", g AS ({_BELOW.format(p='$.tags.finish')}) " + _KEYS + "child_ord::INT AS child_ord, " + ", ".join(_VALUE.format(v=f"json_extract(item, '$.{n}')") + f" AS {n}" for n in ("mat", "layer")) + " FROM g WHERE json_type(item) <> 'NULL'",
+    "p1_holes": _P1_PARTS + f", r AS ({_BELOW.format(p='$.geometry.holes')}), g AS (SELECT record_id, owner_kind, owner_ord, child_ord AS hole_ord, unnest(json_extract(item, '$[*]')) AS item, unnest(range(len(json_extract(item, '$[*]')))) AS child_ord FROM r WHERE json_type(item) = 'ARRAY') " + _KEYS + "hole_ord::INT AS hole_ord, child_ord::INT AS child_ord, " + ", ".join(f"{_AXIS.format(k=k, n=n)} AS {n}" for k, n in enumerate("xyz")) + " FROM g WHERE json_type(item) <> 'NULL'",
+    "p1_details": _P1_PARTS + _KEYS + ", ".join(_VALUE.format(v=f"json_extract(o, '$.{p}')") + f" AS {n}" for n, p in nested.DETAILS.items()) + " FROM owners WHERE json_type(o) = 'OBJECT'",
     "p5_found": _P5 + "SELECT field_name, owner_uuid, target_key FROM gone",
     "p5_report": _P5 + "SELECT field_name, strftime(l, '%Y-%m') AS period, count(*) AS n_orphans FROM gone GROUP BY ALL",
 }

@@ -51,6 +51,21 @@ def test_points_and_owners(spark):
     assert got["wall"]["thickness"] == "1.5" and got["space"]["uuid"] is None
 
 
+def test_references_and_other_groups(spark):
+    walls = json.dumps([{"related_spaces": ["q", None, 7, {"uuid": "r"}], "source": {"layer": "A", "block": None, "ancestry": ["b1", None, "b2"]}, "geometry": {"length": 2.5}}, None, {"source": 3}])
+    spaces = json.dumps([{"related_walls": ["w"], "neighbors": ["n", "n"], "tags": {"use": "u", "finish": [{"mat": "m", "layer": 1}, None, "x"]}, "geometry": {"holes": [[], [[1, 2], None, {"x": 3, "y": 4}]]}}])
+    df = spark.createDataFrame([(1, walls, spaces, "", "")], SCHEMA)
+    got = lambda f: sorted((tuple(r)[1:] for r in f(df).collect()), key=repr)
+    assert got(nested.model_references) == [
+        ("space", 0, "neighbor", 0, "n"), ("space", 0, "neighbor", 1, "n"), ("space", 0, "related_wall", 0, "w"),
+        ("wall", 0, "related_space", 0, "q"), ("wall", 0, "related_space", 2, "7"), ("wall", 0, "related_space", 3, None),
+    ]
+    assert got(nested.model_ancestry) == [("wall", 0, 0, "b1"), ("wall", 0, 2, "b2")]
+    assert got(nested.model_finishes) == [("space", 0, 0, "m", "1"), ("space", 0, 2, None, None)]
+    assert got(nested.model_holes) == [("space", 0, 1, 0, 1.0, 2.0, None), ("space", 0, 1, 2, 3.0, 4.0, None)]
+    assert got(nested.model_details) == [("space", 0, None, None, "u", None), ("wall", 0, "A", None, None, "2.5"), ("wall", 2, None, None, None, None)]
+
+
 def test_deep_and_long_texts(spark):
     deep = '[{"points": [1], "x": ' + "[" * 20_000 + "]" * 20_000 + "}]"
     long = json.dumps([{"points": [[i, i] for i in range(60_000)]}])
