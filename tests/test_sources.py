@@ -1,3 +1,4 @@
+import math
 import uuid
 
 import pytest
@@ -5,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridloom.plans.more import uuid5
 from gridloom.sources import drawings, sinks
-from gridloom.sources.dxf import DxfSource, bulged, curve
+from gridloom.sources.dxf import Drawing, DxfSource, Matrix, bulged, curve
 from gridloom.streaming import drops
 
 
@@ -62,6 +63,35 @@ def test_chord_error():
     assert drawings.arc_parts(90) == 12 and drawings.arc_parts(1) == 8
 
 
+def test_curves_arrays_and_what_cannot_be_read():
+    near = lambda got, want: len(got) == len(want) and all(math.dist(a, b) < 1e-6 for a, b in zip(got, want))
+    door = (0, "SECTION", 2, "BLOCKS", 0, "BLOCK", 2, "d", 10, 0, 20, 0, 0, "LINE", 8, "a", 10, 0, 20, 0, 11, 1, 21, 0, 0, "LWPOLYLINE", 8, "b", 10, "oops", 20, 0, 0, "LINE", 8, "c", 10, 0, 20, 0, 11, 0, 21, 1, 0, "ENDBLK", 0, "ENDSEC")
+    body = (
+        0, "SECTION", 2, "ENTITIES",
+        0, "INSERT", 2, "d", 10, 100, 20, 0, 41, 2, 50, 90, 70, 3, 71, 2, 44, 10, 45, 20,
+        0, "ELLIPSE", 8, "e", 10, 1, 20, 2, 11, 0, 21, 40, 40, 0.5, 41, 0, 42, math.tau,
+        0, "SPLINE", 8, "s", 70, 0, 71, 2, *(x for k in (0, 0, 0, 1, 1, 1) for x in (40, k)), 41, 1, 41, math.sqrt(0.5), 41, 1, 10, 10, 20, 0, 10, 10, 20, 10, 10, 0, 20, 10,
+        0, "SPLINE", 8, "f", 70, 0, 71, 3, 11, 0, 21, 0, 11, 5, 21, 5, 11, 10, 21, 0,
+        0, "HATCH", 8, "h", 10, 0, 20, 0, 91, 2, 92, 2, 72, 0, 73, 1, 93, 3, 10, 0, 20, 0, 10, 4, 20, 0, 10, 4, 20, 4, 97, 0,
+        92, 1, 93, 2, 72, 1, 10, -10, 20, 0, 11, 10, 21, 0, 72, 2, 10, 0, 20, 0, 40, 10, 50, 0, 51, 180, 73, 1, 97, 0, 75, 0, 76, 1, 98, 1, 10, 3, 20, 3,
+        0, "POINT", 8, "p", 10, 0, 20, 0,
+    )
+    d = Drawing(dxf(door, body, TAIL).splitlines())
+    got = [e for r in d.entities for e in d.flat(r, Matrix(), "default", (), 16, 0.05)]
+    lines = [e for e in got if e["type"] == "LINE"]
+    starts = [(100 - 20 * r, 10 * c) for r in range(2) for c in range(3)]
+    assert near([(e["start"]["x"], e["start"]["y"]) for e in lines if e["layer"] == "a"], starts)
+    assert near([(e["end"]["x"], e["end"]["y"]) for e in lines if e["layer"] == "c"], [(x - 1, y) for x, y in starts])
+    assert [e["type"] for e in got if e["layer"] in "bp"] == ["UNREADABLE"] * 6 + ["IGNORED"]
+    curves = [(e, [(v["x"], v["y"]) for v in e["vertices"]]) for e in got if e["type"] == "LWPOLYLINE"]
+    (oval, o), (_, s), (_, f), (_, h0), (_, h1) = curves
+    assert oval["closed"] and all(abs(((x - 1) / 20) ** 2 + ((y - 2) / 40) ** 2 - 1) < 1e-9 for x, y in o)
+    mid = lambda p: [((a + c) / 2, (b + e) / 2) for (a, b), (c, e) in zip(p, p[1:])]
+    assert near([s[0], s[-1]], [(10, 0), (0, 10)]) and all(abs(math.hypot(*p) - 10) < 1e-9 for p in s) and all(10 - math.hypot(*p) < 0.05 for p in mid(s))
+    assert any(math.dist(p, (5, 5)) < 1e-9 for p in f) and near([f[0], f[-1]], [(0, 0), (10, 0)]) and len(f) > 4
+    assert near(h0, [(0, 0), (4, 0), (4, 4)]) and near(h1[:2], [(-10, 0), (10, 0)]) and all(abs(math.hypot(*p) - 10) < 1e-9 and p[1] >= -1e-9 for p in h1)
+
+
 def test_generators(spark):
     s = drawings.synthetic(spark, 500, 3)
     assert {r["kind"]: r["count"] for r in s.groupBy("kind").count().collect()} == {"line": 300, "tiny": 100, "point": 100}
