@@ -34,6 +34,8 @@ SLOTS = 1 << 19
 BETTER = 2.2
 AT_LEAST = 0.7
 MAX_LAYERS = 4
+#: Counts from which a character is one that the corpus writes.
+KNOWN = 3
 #: Readings of one token followed up in each layer (twelve encodings rarely give more than three).
 MAX_READINGS = 24
 DIGITS = re.compile(r"\d+")
@@ -101,6 +103,18 @@ def decode_spans(token: str, read_as: str) -> str | None:
     return "".join([*out, token[at:]])
 
 
+def is_whole(token: str, read_as: str) -> bool:
+    """Whether every character beyond ASCII lies in a multibyte span."""
+    table = ENCODE[read_as]
+    spans = multibyte_spans([ord(c) if c < "\x80" else table.get(c, -1) for c in token])
+    return sum(b - a for a, b, _ in spans) == sum(c >= "\x80" for c in token)
+
+
+def _one_script(text: str) -> bool:
+    """Whether all characters beyond ASCII are letters, and all letters of one script."""
+    return all(c < "\x80" or c.isalpha() for c in text) and len({script(c) for c in text if c.isalpha()}) < 2
+
+
 def _shape(token: str) -> str:
     """How a token counts: lower case, digit runs as one, ends marked."""
     return "\x02" + DIGITS.sub("0", token).replace("İ", "i").lower() + "\x03"
@@ -211,11 +225,15 @@ class Restorer:
                         yield "".join(chars)
 
     def _unlayered(self, token: str) -> str | None:
-        """The best reading after one or more rounds of decoding multibyte spans."""
+        """The best reading after one or more rounds of decoding multibyte spans. Where the
+        text as it stands is the more usual one, a certain reading is still taken, of several the
+        last layer's: so a garble counts as one however common it is."""
         seen = {token}
         layer = [token]
         best: tuple[bool, float, str] | None = None
-        for _ in range(MAX_LAYERS):
+        certain: tuple[int, float, str] | None = None
+        sure = {token}
+        for depth in range(MAX_LAYERS):
             following = []
             for t in layer:
                 for e in READ_AS:
@@ -226,11 +244,25 @@ class Restorer:
                         found = self._plausible(new), self.stats.score(new), new
                         if best is None or found > best:
                             best = found
+                        if t in sure and is_whole(t, e):
+                            sure.add(new)
+                            if found[0] and self._certain(t, new):
+                                certain = max(certain or (0, 0.0, ""), (depth + 1, *found[1:]))
             layer = following[:MAX_READINGS]
         if best is None or not best[0] or best[1] < self._base(token):
-            return None
+            return certain[2] if certain else None
         return best[2]
 
+    def _certain(self, old: str, new: str) -> bool:
+        """Judges a reading that leaves no character of the old text undecoded, by nothing that the
+        old text's own rows count for: its letters are of one script, and the corpus writes all
+        its characters beyond ASCII, or it is all letters where the old text isn't."""
+        if len({script(c) for c in new if c.isalpha()}) > 1:
+            return False
+        if all(c < "\x80" or self.stats.count(c.lower()) >= KNOWN for c in new):
+            return True
+        return _one_script(new) and not _one_script(old) and not any(c.isspace() or c == "\xad" for c in old)
+
     def _plausible(self, text: str) -> bool:
         """Without control characters, and of characters that the corpus has or that are
         letters of its scripts."""

@@ -27,6 +27,25 @@ def test_restores(judge, text, wrong, right):
     assert judge.text(f"x {garbled} y") == (True, f"x {text} y", True)
 
 
+@pytest.mark.parametrize("text", ["bölme", "MÜDÜR", "kapısı", "стена", "ŞAFT-12"])
+@pytest.mark.parametrize("wrong", ["cp1252", "cp437", "cp1251"])
+def test_garble_on_a_third_of_all_rows(text, wrong):
+    table = encoding.DECODE[wrong]
+    garbled = "".join(table[b] or chr(b) for b in text.encode())
+    corpus = [WORDS, "MÜDÜR ŞAFT"] * 40 + [garbled] * 4000
+    words = [w for t in corpus for w in encoding.BLANK.split(t)[::2]]
+    counts = np.zeros(2 * encoding.SLOTS, np.float32)
+    for w in words:
+        shape = encoding._shape(w)
+        for key in (*(shape[i : i + 3] for i in range(len(shape) - 2)), *shape):
+            for k in encoding._slots(key):
+                counts[k] += 1
+    found = encoding.Restorer(encoding.Statistics(counts))
+    assert found.text(garbled) == (True, text, True)
+    assert not any(found.text(t)[0] for t in (WORDS, "MÜDÜR ŞAFT"))
+    assert not any(found._certain(a, b) for a, b in (("ΤΟΊΧΟΣ", "ΤϺΧΟΣ"), ("Δ\xadh=1470", "ĭh=1470"), ("X\xa0ÜBERSICHT", "XʆBERSICHT")))
+
+
 def test_double_and_lost(judge):
     twice = "çerçeve".encode().decode("cp1252").encode().decode("cp1252")
     assert judge.text(twice) == (True, "çerçeve", True)
