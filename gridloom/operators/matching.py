@@ -104,20 +104,27 @@ def crossings(walls: DataFrame, cell: float) -> DataFrame:
 def greedy_matches(candidates: DataFrame, keys: Sequence[str], left: str, right: str, order: Sequence[str]) -> DataFrame:
     """One-to-one matches taken greedily: left items in order, each with its first free
     candidate. Equal to repeatedly taking all pairs that are the first of both their
-    items among those left, when an item's order is that of its pairs; done in rounds."""
+    items among those left, when an item's order is that of its pairs; done in rounds until one
+    takes no pair. The first pair of all is taken in every round, so this ends for any input."""
     from gridloom.session import Scratch
 
     scratch = Scratch(candidates.sparkSession, "greedy")
     key = F.struct(*[F.col(o) for o in order], F.col(left), F.col(right))
     rest = scratch.save(candidates.select(*keys, left, right, *[o for o in order if o not in (left, right)]).withColumn("_k", key), "pairs")
     taken = None
-    for _ in range(200):
+    n = 0
+    while True:
         step, seen = scratch.save_with(_mutual(rest, keys, left, right), "step", n=F.count(F.lit(1)))
         if not seen["n"]:
             break
         taken = step if taken is None else taken.unionByName(step)
+        n += 1
+        if n % 50 == 0:  # one table for many, so that the plan stays small
+            taken = scratch.save(taken, "taken")
         free = rest.join(step.select(*keys, left), [*keys, left], "left_anti").join(step.select(*keys, right), [*keys, right], "left_anti")
-        rest = scratch.save(free, "pairs")
+        new = scratch.save(free, "pairs")
+        scratch.drop(rest)
+        rest = new
     return taken if taken is not None else rest.select(*keys, left, right)
 
 
