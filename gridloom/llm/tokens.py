@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterable, Iterator
 from pathlib import Path
@@ -21,6 +22,10 @@ CACHED_BYTES = 48
 #: Characters of text worked on at once.
 BATCH_CHARS = 2_000_000
 NO_RANK = np.int32(2**31 - 1)
+#: Words of more bytes take rounds of one rank each, which touch only what they merge.
+LONG_BYTES = 256
+#: Pairs that such rounds hold sorted by rank at once.
+NEAR = 16_384
 
 
 def byte_letters() -> dict[str, int]:
@@ -52,24 +57,111 @@ class Pairs:
             first[byte] = ids[letter]
         return cls(keys[order], order.astype(np.int32), np.array([ids[a + b] for a, b in merges], np.int64)[order], first)
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank or NO_RANK, merged symbol) of each pair, by binary search over the sorted keys."""
+        pair = left << 32 | right
+        at = np.searchsorted(self.keys, pair)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == pair, self.ranks[at], NO_RANK), self.becomes[at]
+
+    def _merge_long(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word, id) of the symbols left when all pairs are merged, lowest rank first.
+
+        Symbols are linked to their neighbours, and each holds the rank of the pair that it
+        begins. A round takes the places of the lowest rank from an index by rank, merges
+        them left to right, and looks up only the pairs beside them. The index holds the
+        next NEAR pairs sorted, all others unsorted. Words don't share pairs, so that all go
+        through the same rounds."""
+        n = len(symbols)
+        symbols = symbols.copy()
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        ends = np.r_[word[1:] != word[:-1], True]
+        after[ends] = -1
+        before[np.r_[0, np.flatnonzero(ends)[:-1] + 1]] = -1
+        rank = np.full(n, NO_RANK, np.int32)
+        into = np.zeros(n, np.int64)
+        inner = np.flatnonzero(~ends)
+        rank[inner], into[inner] = self._ranks(symbols[inner], symbols[inner + 1])
+        far = [(rank[inner], inner)]
+        near: dict[int, list[np.ndarray]] = {}
+        order: list[int] = []
+
+        def file(ranks: np.ndarray, places: np.ndarray) -> None:
+            by = np.argsort(ranks, kind="stable")
+            ranks, places = ranks[by], places[by]
+            cuts = np.flatnonzero(np.r_[True, ranks[1:] != ranks[:-1]])
+            for r, part in zip(ranks[cuts].tolist(), np.split(places, cuts[1:])):
+                if r not in near:
+                    near[r] = []
+                    heapq.heappush(order, r)
+                near[r].append(part)
+
+        while True:
+            if not order:
+                ranks, places = (np.concatenate(x) for x in zip(*far))
+                open_ = (ranks != NO_RANK) & (rank[places] == ranks)
+                ranks, places = ranks[open_], places[open_]
+                if not len(ranks):
+                    break
+                size = max(NEAR, len(ranks) // 16)
+                limit = np.partition(ranks, size)[size] if len(ranks) > size else NO_RANK
+                now = ranks <= limit
+                far = [(ranks[~now], places[~now])]
+                file(ranks[now], places[now])
+            lowest = heapq.heappop(order)
+            places = np.unique(np.concatenate(near.pop(lowest)))
+            places = places[rank[places] == lowest]
+            if not len(places):
+                continue
+            runs = np.r_[True, after[places[:-1]] != places[1:]]
+            count = np.arange(len(places))
+            places = places[(count - np.maximum.accumulate(np.where(runs, count, 0))) % 2 == 0]
+            gone = after[places]
+            following = after[gone]
+            symbols[places] = into[places]
+            symbols[gone], rank[gone] = -1, NO_RANK
+            after[places] = following
+            has = following >= 0
+            before[following[has]] = places[has]
+            rank[places[~has]] = NO_RANK
+            left = before[places]
+            beside = np.unique(np.r_[left[left >= 0], places[has]])
+            if len(beside):
+                ranks, into[beside] = self._ranks(symbols[beside], symbols[after[beside]])
+                rank[beside] = ranks
+                now = ranks <= limit
+                now &= ranks != NO_RANK
+                if now.any():
+                    file(ranks[now], beside[now])
+                later = ~now & (ranks != NO_RANK)
+                if later.any():
+                    far.append((ranks[later], beside[later]))
+        left = symbols >= 0
+        return word[left], symbols[left]
+
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends): the ids of all words in one array, and where each word ends in it.
 
         In a round, each word that still has a known pair merges all places of its
-        lowest-ranked one, left to right; words without one leave the array."""
+        lowest-ranked one, left to right; words without one leave the array. Long words
+        would hold the whole array in it for as many rounds as they have ranks; they have
+        rounds of their own."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         symbols = self.first[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words)), sizes)
         done_word: list[np.ndarray] = []
         done_ids: list[np.ndarray] = []
+        long = sizes[word] > LONG_BYTES
+        if long.any():
+            at, ids = self._merge_long(symbols[long], word[long])
+            done_word.append(at)
+            done_ids.append(ids)
+            symbols, word = symbols[~long], word[~long]
         while len(symbols):
             rank = np.full(len(symbols), NO_RANK, np.int32)
             if len(symbols) > 1:
-                pair = symbols[:-1] << 32 | symbols[1:]
-                at = np.searchsorted(self.keys, pair)
-                at[at == len(self.keys)] = 0
-                known = (self.keys[at] == pair) & (word[:-1] == word[1:])
-                rank[:-1][known] = self.ranks[at[known]]
+                same = word[:-1] == word[1:]
+                rank[:-1][same] = self._ranks(symbols[:-1][same], symbols[1:][same])[0]
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             least = np.minimum.reduceat(rank, starts)
             each = np.repeat(least, np.diff(np.r_[starts, len(word)]))
@@ -167,3 +259,28 @@ def token_ids(df: DataFrame, id_cols: list[str], text: str = "text", vocabulary:
 def token_counts(df: DataFrame, id_cols: list[str], text: str = "text", vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> DataFrame:
     """id_cols and n_tokens of every row."""
     return _mapped(df, id_cols, text, vocabulary, True)
+
+
+def id_bytes(vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> list[bytes]:
+    """What each id of a byte-level vocabulary stands for."""
+    letters = byte_letters()
+    vocab = json.loads(Path(vocabulary).read_text("utf-8"))["model"]["vocab"]
+    out = [b""] * (max(vocab.values()) + 1)
+    for word, i in vocab.items():
+        if all(c in letters for c in word):
+            out[i] = bytes(letters[c] for c in word)
+    return out
+
+
+def texts_of(df: DataFrame, id_cols: list[str], ids: str = "ids", vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> DataFrame:
+    """id_cols and the text that the ids of every row stand for; an empty list gives an
+    empty text. One narrow stage."""
+    sent = df.sparkSession.sparkContext.broadcast(id_bytes(vocabulary))
+    types = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in id_cols)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [b"".join(map(sent.value.__getitem__, x)).decode("utf-8", "replace") for x in b.column(len(id_cols)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], names=[*id_cols, "text"])
+
+    return df.select(*id_cols, F.col(ids).alias("_ids")).mapInArrow(run, f"{types}, text string")

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -167,3 +168,37 @@ def test_token_rows(spark):
 def test_empty_words():
     ids, ends = tokens.Pairs.read(VOCABULARY).encode([])
     assert len(ids) == 0 and len(ends) == 0 and isinstance(ids, np.ndarray)
+
+
+LONG = [
+    "a" * 3001,
+    "ab" * 2000 + "ba" * 999,
+    "ÇŞĞ" * 900,
+    "".join(random.Random(5).choice("ACGT") for _ in range(6000)),
+    "".join(chr(random.Random(i).randrange(0x4E00, 0x9000)) for i in range(2000)),
+    "x " + "the" * 700 + " y",
+]
+
+
+def test_long_words_as_by_the_library():
+    library = pytest.importorskip("tokenizers").Tokenizer.from_file(f"{tokens.TOKENIZERS}/byte_bpe_50k.json")
+    library.encode_special_tokens = True
+    got = tokens.Encoder(tokens.Pairs.read(f"{tokens.TOKENIZERS}/byte_bpe_50k.json")).texts(LONG)
+    assert [g.tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in LONG]
+
+
+def test_a_megabyte_without_blanks_in_seconds():
+    pairs = tokens.Pairs.read(f"{tokens.TOKENIZERS}/byte_bpe_50k.json")
+    text = "".join(random.Random(3).choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    began = time.process_time()
+    ids = tokens.Encoder(pairs).texts([text])[0]
+    assert time.process_time() - began < 15
+    stands = tokens.id_bytes(f"{tokens.TOKENIZERS}/byte_bpe_50k.json")
+    assert b"".join(stands[i] for i in ids).decode() == text
+
+
+def test_round_trip_of_rows(spark):
+    rows = [(1, "Duvar ğüş 😀 <|endoftext|>"), (2, ""), (3, None), (3, "  \n x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = tokens.texts_of(tokens.token_ids(df, ["doc_id"]), ["doc_id"])
+    assert sorted(map(tuple, got.collect())) == sorted((i, t or "") for i, t in rows)
