@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm import components, copies, encoding, lookalike, mixing, moderation, tokens
@@ -58,6 +58,11 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(table(spark, d, "documents"), ["doc_id"])
 
 
+def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The texts that the ids stand for."""
+    return tokens.texts_of(p7_ids(spark, d), ["doc_id"])
+
+
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     counts = tokens.token_counts(table(spark, d, "documents"), ["doc_id", "source"])
     return mixing.mix(counts, table(spark, d, "mix_targets"))
@@ -75,6 +80,19 @@ def p8_sequence(spark: SparkSession, d: str) -> DataFrame:
     return mixing.sequence(_mix(spark, d)[0])
 
 
+def p8_use(spark: SparkSession, d: str) -> DataFrame:
+    """Per target: the documents there are, whether any is used more often than allowed or
+    counted with other sizes than the report says, and whether a target that is short is used up."""
+    times, report = _mix(spark, d)
+    most = times.groupBy("source_name").agg(F.max("times").alias("most"), F.sum(F.col("times") * F.col("n_tokens")).alias("sum"), F.count_distinct("doc_id").alias("k"))
+    one = report.join(most, "source_name", "left").na.fill(0, ["most", "sum", "k"])
+    capped = (F.col("most") <= F.col("max_repeats")) & (F.col("docs_used") <= F.col("n_docs")) & (F.col("k") == F.col("docs_used")) & (F.col("sum") == F.col("tokens_used"))
+    goal = F.col("target_share") / F.sum(F.when(F.col("n_docs") > 0, F.col("target_share"))).over(Window.partitionBy())
+    short = F.col("reached_share") < goal - 0.005
+    full = F.col("tokens_used") == F.col("n_tokens") * F.col("max_repeats")
+    return one.select("source_name", "n_docs", capped.alias("is_within_caps"), (~short | full).alias("is_near_or_used_up"))
+
+
 def p9_scores(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     net = moderation.train(*moderation.sample_labelled(docs, table(spark, d, "moderation_labels")))
@@ -90,7 +108,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return p9_scores(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), abusive.alias("n_abusive"), (abusive / F.count(F.lit(1))).alias("rate"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_spelled": p4_spelled, "p6_found": p6_found, "p6_records": p6_records, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_sequence": p8_sequence, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_spelled": p4_spelled, "p6_found": p6_found, "p6_records": p6_records, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_sequence": p8_sequence, "p8_use": p8_use, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
 
 _P2 = """
 WITH RECURSIVE n AS (SELECT DISTINCT project_id, node_id FROM geometry_nodes WHERE node_id IS NOT NULL),
@@ -122,6 +140,8 @@ firsts AS (SELECT *, min(row_id) OVER (PARTITION BY project_id, entity_type, l,
 
 ORACLES = {
     "p2_found": _P2,
+    "p7_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p8_use": "SELECT source_name, count(doc_id) AS n_docs, true AS is_within_caps, true AS is_near_or_used_up FROM mix_targets LEFT JOIN documents ON source = source_name AND text <> '' GROUP BY source_name",
     "p6_found": _P6 + "SELECT first_id, row_id AS copy_id FROM firsts WHERE row_id > first_id",
     "p6_records": _P6 + """, counted AS (SELECT first_id, count(*) AS n FROM firsts GROUP BY first_id)
 SELECT c.row_id, c.project_id, c.entity_type, c.layer, c.start_pt, c.end_pt, coalesce(n, 1) AS n_copies
