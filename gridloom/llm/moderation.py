@@ -7,6 +7,7 @@ alternates between fitting windows and choosing which windows a label is about."
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import zlib
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.lookalike import spelling
+from gridloom.session import scratch_root
 
 WINDOW, STRIDE = 20, 10
 WORD_SLOTS, GRAM_SLOTS = 1 << 14, 1 << 14
@@ -34,6 +36,8 @@ THRESHOLD = 0.5
 SEED = 11
 #: Distinct raw words whose form each worker keeps.
 CACHE = 200_000
+#: Longer runs without blanks are read in pieces: cut at signs, and every so many characters with half as many shared.
+PIECE = 40
 
 # Signs that stand for letters in disguised words.
 SIGNS = str.maketrans("@$013457", "asoieast")
@@ -42,6 +46,21 @@ _SPLIT = re.compile(r"\S+")
 _EDGE = re.compile(r"^([\"'“”„»«(\[]*)(.*?)([\"'“”„»«)\].,;:!?…]*)$", re.S)
 _LONG = re.compile(r"(.)\1{2,}")
 _SINGLE = re.compile(r"^[^\W_](?:[^\w\s]|_)(?:[^\W_](?:[^\w\s]|_))+[^\W_]$")
+_PART = re.compile(r"[^\W_]+|[\W_]+")
+
+
+def pieces(raw: str) -> Iterator[str]:
+    """A blank-separated run as words of bounded length that cover it whole. Letters set apart
+    by signs are joined first, as in word_form."""
+    if len(raw) <= PIECE:
+        yield raw
+        return
+    raw = re.sub(r"[\W_]", "", raw) if _SINGLE.match(raw) else raw
+    for m in _PART.finditer(raw):
+        part = m.group()
+        step = PIECE // 2 if _INNER.match(part) else PIECE
+        for at in range(0, max(1, len(part) - PIECE + step), step):
+            yield part[at : at + PIECE]
 
 
 def word_form(raw: str) -> list[str]:
@@ -71,7 +90,7 @@ def word_form(raw: str) -> list[str]:
 
 def grams(word: str) -> list[int]:
     """Slots of a word's letter groups of two to four, ends marked."""
-    w = f"<{word[:40]}>"
+    w = f"<{word}>"
     found = [w[i : i + n] for n in (2, 3, 4) for i in range(len(w) - n + 1)]
     return [zlib.crc32(g.encode("utf-8", "replace")) % GRAM_SLOTS for g in dict.fromkeys(found)] or [0]
 
@@ -91,12 +110,14 @@ class Words:
             got = self.raw.get(raw)
             if got is None:
                 got = []
-                for f in word_form(raw if len(raw) <= 400 else raw[:200] + raw[-200:]):
-                    if f not in self.number:
-                        self.number[f] = len(self.forms)
-                        self.forms.append(f)
-                    got.append(self.number[f])
-                self.raw[raw] = got
+                for piece in pieces(raw):
+                    for f in word_form(piece):
+                        if f not in self.number:
+                            self.number[f] = len(self.forms)
+                            self.forms.append(f)
+                        got.append(self.number[f])
+                if len(raw) <= 10 * PIECE:
+                    self.raw[raw] = got
             out += got
         return out
 
@@ -413,15 +434,40 @@ class Scorer:
 
 
 def sample_labelled(documents: DataFrame, labels: DataFrame, max_abusive: int = MAX_ABUSIVE, max_other: int = MAX_OTHER, seed: int = SEED) -> tuple[list[str], np.ndarray]:
-    """Texts and mean labels of a bounded sample: the documents of each kind that come
-    first in the order of a seeded hash. Null labels count as none; texts longer than
-    MAX_CHARS aren't fitted on (they are scored like all others)."""
-    one = labels.where(F.col("is_abusive").isNotNull()).groupBy("doc_id").agg(F.avg("is_abusive").alias("y"))
-    rows = documents.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= MAX_CHARS)).join(one, "doc_id")
-    rows = rows.groupBy(F.xxhash64("text", F.lit(seed)).alias("k")).agg(F.first("text").alias("text"), F.avg("y").alias("y"))
-    got = rows.where("y >= 0.5").orderBy("k").limit(max_abusive).unionAll(rows.where("y < 0.5").orderBy("k").limit(max_other)).collect()
-    got.sort(key=lambda r: r["k"])
-    return [r["text"] for r in got], np.array([r["y"] for r in got], np.float64)
+    """Texts and mean labels of a bounded sample: the labelled documents of each kind that come
+    first in the order of a seeded hash of their doc_id. They are chosen from the labels
+    alone; only their texts are fetched. Null labels count as none; null texts and those
+    longer than MAX_CHARS aren't fitted on (they are scored like all others); equal texts are
+    one, with the mean of their labels."""
+    one = labels.where(F.col("is_abusive").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg("is_abusive").alias("y"))
+    one = one.withColumn("k", F.xxhash64("doc_id", F.lit(seed)))
+    ids = one.where("y >= 0.5").orderBy("k", "doc_id").limit(max_abusive).unionAll(one.where("y < 0.5").orderBy("k", "doc_id").limit(max_other)).drop("k")
+    rows = documents.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= MAX_CHARS)).join(F.broadcast(ids), "doc_id")
+    per: dict[str, list[float]] = {}
+    for r in rows.collect():
+        per.setdefault(r["text"], []).append(r["y"])
+    texts = sorted(per, key=lambda t: (zlib.crc32(t.encode("utf-8", "replace"), seed), t))
+    return texts, np.array([sum(per[t]) / len(per[t]) for t in texts], np.float64)
+
+
+def fitted(documents: DataFrame, labels: DataFrame) -> Network:
+    """The network for these labels, from the shared folder if it was fitted on the same
+    sample before, by whichever query: its name is a hash of the sample and of all settings."""
+    spark = documents.sparkSession
+    texts, y = sample_labelled(documents, labels)
+    h = hashlib.sha256(repr((np.__version__, WINDOW, STRIDE, WORD_SLOTS, GRAM_SLOTS, WORD_DIM, GRAM_DIM, HIDDEN, EVIDENCE, EPOCH_WINDOWS, PIECE, SEED)).encode())
+    for t, one in zip(texts, y):
+        raw = t.encode("utf-8", "replace")
+        h.update(b"%d %r " % (len(raw), one) + raw)
+    path = f"{scratch_root(spark)}/gridloom-network-{h.hexdigest()[:32]}"
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return Network({r["name"]: np.frombuffer(bytes(r["raw"]), np.float32).reshape(r["size"]).copy() for r in spark.read.parquet(path).collect()})
+    net = train(texts, y)
+    rows = [(k, bytearray(np.ascontiguousarray(v, np.float32).tobytes()), list(v.shape)) for k, v in net.p.items()]
+    spark.createDataFrame(rows, "name string, raw binary, size array<int>").coalesce(1).write.mode("overwrite").parquet(path)
+    return net
 
 
 def score_documents(documents: DataFrame, net: Network, keep: list[str]) -> DataFrame:

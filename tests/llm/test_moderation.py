@@ -16,6 +16,24 @@ def test_word_forms():
     assert f("…") == ["."]
 
 
+def test_long_runs_are_read_whole():
+    for raw in ("x" * 520, "abcdefghij" * 52, "a-b-" * 60 + "c", "kapı_no_" * 70, "会" * 700):
+        assert all(len(p) <= m.PIECE for p in m.pieces(raw))
+    run = "".join(chr(0x4E00 + i) for i in range(520))
+    parts = list(m.pieces(run))
+    assert all(any(run[i : i + 20] in p for p in parts) for i in range(len(run) - 19))
+    calm = "lorem" * 104
+    for at in (0, 250, 500):
+        joined = calm[:at] + "dickhead" + calm[at:]
+        assert m.Words().of(joined) != m.Words().of(calm)
+        words = m.Words()
+        words.of(joined)
+        assert any("dickhead" in f for f in words.forms)
+    words = m.Words()
+    words.of("_".join(["wall"] * 60 + ["moron"] + ["door"] * 60))
+    assert {"wall", "moron", "door"} <= set(words.forms)
+
+
 def test_windows_cover_everything():
     for n in (0, 1, m.WINDOW, m.WINDOW + 1, 3 * m.WINDOW + 7):
         w = m.windows(list(range(1, n + 1)))
@@ -87,3 +105,15 @@ def test_rows(spark):
     labels = spark.createDataFrame([(1, 1), (1, 0), (1, 1), (2, 1), (3, None), (9, 1)], "doc_id long, is_abusive int")
     texts, y = m.sample_labelled(df, labels)
     assert texts == ["some text"] and y[0] == pytest.approx(2 / 3)
+
+
+def test_fitted_once(spark, monkeypatch):
+    texts, truth = corpus(60, 3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(y)) for i, y in enumerate(truth)], "doc_id long, is_abusive int")
+    calls = []
+    monkeypatch.setattr(m, "train", lambda t, y: calls.append(len(t)) or m.Network(seed=4))
+    first, second = m.fitted(docs, labels), m.fitted(docs, labels)
+    assert len(calls) == 1 and all((first.p[k] == second.p[k]).all() for k in first.p)
+    m.fitted(docs, labels.where("doc_id > 0"))
+    assert len(calls) == 2
