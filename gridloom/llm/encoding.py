@@ -33,11 +33,8 @@ SLOTS = 1 << 19
 #: Mean log count by which a single-byte reading must be better, and must reach at least.
 BETTER = 2.2
 AT_LEAST = 0.7
-MAX_LAYERS = 4
 #: Counts from which a character is one that the corpus writes.
 KNOWN = 3
-#: Readings of one token followed up in each layer (twelve encodings rarely give more than three).
-MAX_READINGS = 24
 DIGITS = re.compile(r"\d+")
 BLANK = re.compile(r"([ \t\r\n]+)")
 CONTROL = re.compile("[\x80-\x84\x86-\x9f]")
@@ -227,13 +224,16 @@ class Restorer:
     def _unlayered(self, token: str) -> str | None:
         """The best reading after one or more rounds of decoding multibyte spans. Where the
         text as it stands is the more usual one, a certain reading is still taken, of several the
-        last layer's: so a garble counts as one however common it is."""
+        last layer's: so a garble counts as one however common it is. Each decoding shortens
+        the text, so rounds end by themselves."""
         seen = {token}
         layer = [token]
         best: tuple[bool, float, str] | None = None
         certain: tuple[int, float, str] | None = None
         sure = {token}
-        for depth in range(MAX_LAYERS):
+        depth = 0
+        while layer:
+            depth += 1
             following = []
             for t in layer:
                 for e in READ_AS:
@@ -247,8 +247,8 @@ class Restorer:
                         if t in sure and is_whole(t, e):
                             sure.add(new)
                             if found[0] and self._certain(t, new):
-                                certain = max(certain or (0, 0.0, ""), (depth + 1, *found[1:]))
-            layer = following[:MAX_READINGS]
+                                certain = max(certain or (0, 0.0, ""), (depth, *found[1:]))
+            layer = following
         if best is None or not best[0] or best[1] < self._base(token):
             return certain[2] if certain else None
         return best[2]
@@ -274,9 +274,13 @@ class Restorer:
         score = self.stats.score(token)
         return max(score, self.stats.score(plain)) if odd and plain else score
 
-    def _token(self, token: str) -> tuple[bool, str, bool]:
-        """(is wrongly decoded, restored, wholly restored)."""
+    def _token(self, token: str) -> tuple[frozenset[str], str]:
+        """(how it is wrongly decoded, restored): of span (multibyte spans), single_byte
+        (bytes of one single-byte encoding read as another) and lost (signs for lost characters)."""
+        how = set()
         now = self._unlayered(token) or token
+        if now != token:
+            how.add("span")
         if LOST not in token:
             plain, odd = spelling(token)
             usual = self.stats.score(plain) if odd and plain else AT_LEAST
@@ -288,23 +292,23 @@ class Restorer:
                 if after >= max(before + BETTER, usual, AT_LEAST) and (best is None or after > best[0]):
                     best = after, new
             if best and (now == token or self.stats.score(best[1]) > self.stats.score(now)):
-                now = best[1]
-        broken = LOST in now or bool(CONTROL.search(now))
-        return now != token or broken, now, not broken
+                now, how = best[1], {"single_byte"}
+        if LOST in now or CONTROL.search(now):
+            how.add("lost")
+        return frozenset(how), now
 
-    def text(self, text: str) -> tuple[bool, str, bool]:
+    def text(self, text: str) -> tuple[bool, str, bool, str]:
         """(is wrongly decoded in whole or in part, the text with all that could be
-        restored, whether nothing of it is lost)."""
+        restored, whether nothing of it is lost, how: a comma list)."""
         if text.isascii():
-            return False, text, True
+            return False, text, True, ""
         parts = BLANK.split(text)
-        hit, whole = False, True
+        how: set[str] = set()
         for i in range(0, len(parts), 2):
             if not parts[i].isascii():
-                bad, parts[i], ok = self.token(parts[i])
-                hit |= bad
-                whole &= ok
-        return hit, "".join(parts), whole
+                one, parts[i] = self.token(parts[i])
+                how |= one
+        return bool(how), "".join(parts), "lost" not in how, ",".join(sorted(how))
 
 
 def per_value_one(f, cache: int = 200_000):
@@ -321,40 +325,17 @@ def per_value_one(f, cache: int = 200_000):
 
 
 def restore(rows: DataFrame, column: str, stats: Statistics) -> DataFrame:
-    """All columns of `rows`, restored, and is_whole, for the rows whose `column` was
-    wrongly decoded. Null, empty and ASCII texts never are, and aren't sent to Python.
-    One narrow stage."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", restored string, is_whole boolean"
+    """All columns of `rows`, restored, is_whole, and how (a comma list of span, single_byte,
+    lost), for the rows whose `column` was wrongly decoded. Null, empty and ASCII texts
+    never are, and aren't sent to Python. One narrow stage."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", restored string, is_whole boolean, how string"
     sent = rows.sparkSession.sparkContext.broadcast(stats.table)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         judge = per_value(Restorer(Statistics(sent.value)).text)
         for b in batches:
             got = judge(b[column])
-            b = b.assign(restored=[g[1] for g in got], is_whole=[g[2] for g in got])
+            b = b.assign(restored=[g[1] for g in got], is_whole=[g[2] for g in got], how=[g[3] for g in got])
             yield b[[g[0] for g in got]]
 
     return rows.where(F.rlike(F.col(column), F.lit(r"[^\x00-\x7F]"))).mapInPandas(run, schema)
-
-
-def disguised(rows: DataFrame, keys: list[str], columns: list[str], unless: str, stats: Statistics) -> DataFrame:
-    """keys, field_name, value, spelling, odd for each value that isn't in its ordinary
-    spelling, except in rows whose column `unless` is wrongly decoded. One narrow stage."""
-    sent = rows.sparkSession.sparkContext.broadcast(stats.table)
-    types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", field_name string, value string, spelling string, odd string"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        judge = Restorer(Statistics(sent.value))
-        garbled = per_value(lambda t: judge.text(t)[0])
-        spell = per_value(spelling)
-        for b in batches:
-            sound = b[[g is not True for g in garbled(b[unless])]]
-            for c in columns:
-                got = spell(sound[c])
-                hit = [bool(g and g[1]) for g in got]
-                if any(hit):
-                    one = sound[hit]
-                    yield one[keys].assign(field_name=c, value=one[c], spelling=[g[0] for g in got[hit]], odd=[g[1] for g in got[hit]])
-
-    return rows.select(*dict.fromkeys([*keys, *columns, unless])).mapInPandas(run, schema)

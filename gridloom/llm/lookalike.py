@@ -61,6 +61,8 @@ UNITS = frozenset("m mm cm dm km kg kN kPa MPa Hz kW".split())
 IGNORABLE = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180f\u3164\uffa0"
 # Fixed value: blanks that no category of space covers.
 OTHER_BLANKS = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\u2028\u2029\u2800"
+# Kinds of compatibility characters that are a letter, digit or sign of another width or form.
+FORMS = ("<wide>", "<narrow>", "<font>", "<square>", "<small>", "<vertical>", "<initial>", "<medial>", "<final>", "<isolated>")
 #: Distinct values whose result is kept by each worker.
 CACHE = 200_000
 
@@ -106,7 +108,7 @@ def shape(c: str) -> tuple[str, str]:
     if kind in ("Cf", "Cc") or c in IGNORABLE or 0xFE00 <= ord(c) <= 0xFE0F or 0xE0000 <= ord(c) <= 0xE0FFF or 0x2065 == ord(c):
         return "", "invisible"
     how = unicodedata.decomposition(c)
-    if how.startswith(("<wide>", "<narrow>", "<font>")):
+    if how.startswith(FORMS):
         return unicodedata.normalize("NFKC", c), "form"
     if how.startswith(("<compat>", "<circle>")) and kind[0] in "LN":
         return unicodedata.normalize("NFKC", c), "form"
@@ -185,11 +187,18 @@ def spelling(text: str) -> tuple[str, str]:
     return plain, ",".join(sorted(why))
 
 
+def spell(text: str) -> tuple[str, str, str]:
+    """(spelling, odd, key) of a text. The key is equal for texts that look equal but for letter
+    case and runs of blanks: the spelling in NFKC (so that fractions, raised and circled
+    signs are digits and letters too), fully case-folded, composed again, the Turkish
+    i's as one letter."""
+    plain, odd = spelling(text)
+    folded = unicodedata.normalize("NFKC", plain).casefold().replace("i\u0307", "i").replace("ı", "i")
+    return plain, odd, re.sub(r" +", " ", unicodedata.normalize("NFKC", folded)).strip()
+
+
 def compare_key(text: str) -> str:
-    """Equal for texts that look equal but for letter case and runs of blanks: the
-    spelling in NFKC, fully case-folded, composed again, the Turkish i's as one letter."""
-    folded = unicodedata.normalize("NFKC", spelling(text)[0]).casefold().replace("i\u0307", "i").replace("ı", "i")
-    return re.sub(r" +", " ", unicodedata.normalize("NFKC", folded)).strip()
+    return spell(text)[2]
 
 
 def per_value(f, cache: int = CACHE):
@@ -220,13 +229,13 @@ def odd_characters(c: Column) -> Column:
 def spell_columns(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """keys, field_name, value, spelling, odd, compare_key for each non-null value of the columns.
 
-    Empty text stays empty. Long texts are treated whole."""
+    Empty text stays empty. Long texts are treated whole. One narrow stage."""
     fields = F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).alias("value")) for c in columns])
     rows = df.select(*keys, F.explode(fields).alias("f")).select(*keys, "f.field_name", "f.value").where(F.col("value").isNotNull())
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", spelling string, odd string, compare_key string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        one = per_value(lambda v: (*spelling(v), compare_key(v)))
+        one = per_value(spell)
         for b in batches:
             got = one(b["value"])
             yield b.assign(spelling=[g[0] for g in got], odd=[g[1] for g in got], compare_key=[g[2] for g in got])
