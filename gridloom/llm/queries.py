@@ -35,15 +35,25 @@ def p3_restored(spark: SparkSession, d: str) -> DataFrame:
     return _garbled(spark, d)
 
 
+def p3_routes(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows each way of finding them accounts for."""
+    return _garbled(spark, d).groupBy("table_name", "how").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("is_whole").alias("n_whole"))
+
+
+def _spelled(rows: DataFrame) -> DataFrame:
+    return lookalike.spell_columns(rows, ["row_id"], ["text", "layer"])
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """The fields that spelling finds odd, without the rows whose text p3's operator finds wrongly decoded."""
     audit = table(spark, d, "audit_entities").select("row_id", "text", "layer")
-    odd = lookalike.odd_characters
-    rows = audit.where(odd(F.col("text")) | odd(F.col("layer")))
-    return encoding.disguised(rows, ["row_id"], ["text", "layer"], "text", _statistics(spark, d)).select("row_id", "field_name")
+    rows = audit.where(F.coalesce(lookalike.odd_characters(F.col("text")), F.lit(False)) | F.coalesce(lookalike.odd_characters(F.col("layer")), F.lit(False)))
+    odd = _spelled(rows).where("odd <> ''").select("row_id", "field_name")
+    return odd.join(encoding.restore(rows.select("row_id", "text"), "text", _statistics(spark, d)).select("row_id"), "row_id", "left_anti")
 
 
 def p4_spelled(spark: SparkSession, d: str) -> DataFrame:
-    return lookalike.spell_columns(table(spark, d, "audit_entities"), ["row_id"], ["text", "layer"])
+    return _spelled(table(spark, d, "audit_entities"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -95,7 +105,7 @@ def p8_use(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_scores(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    net = moderation.train(*moderation.sample_labelled(docs, table(spark, d, "moderation_labels")))
+    net = moderation.fitted(docs, table(spark, d, "moderation_labels"))
     return moderation.score_documents(docs, net, ["doc_id", "source"])
 
 
@@ -108,7 +118,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return p9_scores(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), abusive.alias("n_abusive"), (abusive / F.count(F.lit(1))).alias("rate"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_spelled": p4_spelled, "p6_found": p6_found, "p6_records": p6_records, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_sequence": p8_sequence, "p8_use": p8_use, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_restored": p3_restored, "p3_routes": p3_routes, "p4_found": p4_found, "p4_spelled": p4_spelled, "p6_found": p6_found, "p6_records": p6_records, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_sequence": p8_sequence, "p8_use": p8_use, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
 
 _P2 = """
 WITH RECURSIVE n AS (SELECT DISTINCT project_id, node_id FROM geometry_nodes WHERE node_id IS NOT NULL),
