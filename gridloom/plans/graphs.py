@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -212,73 +210,6 @@ def pruned_edges(spark, d):
 # Validation
 
 
-_HEALTH = with_(NODES, EDGES, _DEG, """v AS (
- SELECT project_id, 'self_loop' AS chk, count(*) FILTER (from_id = to_id) AS n FROM geometry_edges GROUP BY ALL
- UNION ALL SELECT project_id, 'missing_end', count(*) FILTER (from_id IS NULL OR to_id IS NULL) FROM geometry_edges GROUP BY ALL
- UNION ALL SELECT g.project_id, 'unknown_node', count(*) FILTER (from_id IS NOT NULL AND to_id IS NOT NULL AND (a.node_id IS NULL OR b.node_id IS NULL)) FROM geometry_edges g LEFT JOIN nodes a ON a.project_id = g.project_id AND a.node_id = from_id LEFT JOIN nodes b ON b.project_id = g.project_id AND b.node_id = to_id GROUP BY ALL
- UNION ALL SELECT project_id, 'duplicate_edge', count(*) FILTER (n > 1) FROM (SELECT project_id, least(from_id, to_id), greatest(from_id, to_id), count(*) AS n FROM edges GROUP BY ALL) GROUP BY project_id
- UNION ALL SELECT project_id, 'degree_mismatch', count(*) FILTER (declared <> degree) FROM deg GROUP BY ALL
- UNION ALL SELECT project_id, 'dangling', count(*) FILTER (degree = 1) FROM deg GROUP BY ALL
- UNION ALL SELECT project_id, 'isolated', count(*) FILTER (degree = 0) FROM deg GROUP BY ALL
- UNION ALL SELECT project_id, 'no_type', count(*) FILTER (node_type IS NULL) FROM nodes GROUP BY ALL)""")
-#: Checks in the order in which they stop a validator.
-CHECK_ORDER = ("missing_end", "unknown_node", "self_loop", "duplicate_edge", "degree_mismatch", "dangling", "isolated", "no_type")
-CRITICAL = ("missing_end", "unknown_node", "self_loop")
-
-
-def violations(spark, d) -> DataFrame:
-    """project_id, chk, n of every check of the graph."""
-    e, n = table(spark, d, "geometry_edges"), nodes(spark, d)
-    deg = degrees(spark, d)
-    known = n.select("project_id", "node_id")
-    a = known.select("project_id", C("node_id").alias("from_id"), F.lit(1).alias("has_a"))
-    b = known.select("project_id", C("node_id").alias("to_id"), F.lit(1).alias("has_b"))
-    seen = e.join(a, ["project_id", "from_id"], "left").join(b, ["project_id", "to_id"], "left")
-    absent = C("from_id").isNotNull() & C("to_id").isNotNull() & (C("has_a").isNull() | C("has_b").isNull())
-    per_edge = seen.groupBy("project_id").agg(F.count_if(C("from_id") == C("to_id")).alias("self_loop"), F.count_if(C("from_id").isNull() | C("to_id").isNull()).alias("missing_end"), F.count_if(absent).alias("unknown_node"))
-    pairs = edges(spark, d).groupBy("project_id", F.least("from_id", "to_id"), F.greatest("from_id", "to_id")).agg(count().alias("k")).groupBy("project_id").agg(F.count_if(C("k") > 1).alias("duplicate_edge"))
-    per_node = deg.groupBy("project_id").agg(F.count_if(C("declared") != C("degree")).alias("degree_mismatch"), F.count_if(C("degree") == 1).alias("dangling"), F.count_if(C("degree") == 0).alias("isolated"))
-    typed = n.groupBy("project_id").agg(F.count_if(C("node_type").isNull()).alias("no_type"))
-    def tall(df: DataFrame) -> DataFrame:
-        names = [c for c in df.columns if c != "project_id"]
-        return df.select("project_id", F.explode(F.array(*[F.struct(F.lit(c).alias("chk"), C(c).alias("n")) for c in names])).alias("v")).select("project_id", "v.*")
-    return reduce(DataFrame.unionByName, [tall(x) for x in (per_edge, pairs, per_node, typed)])
-
-
-@query("v01_violations", _HEALTH + " SELECT project_id, chk, n FROM v")
-def v01(spark, d):
-    return violations(spark, d)
-
-
-@query("v01_health_status", _HEALTH + " SELECT project_id, CASE WHEN sum(n) FILTER (chk IN ('missing_end', 'unknown_node', 'self_loop')) > 0 THEN 'CRITICAL' WHEN sum(n) > 0 THEN 'WARNING' ELSE 'HEALTHY' END AS status, count(*) FILTER (n > 0) AS n_failed FROM v GROUP BY project_id")
-def health_status(spark, d):
-    bad = F.sum(F.when(C("chk").isin(*CRITICAL), C("n")).otherwise(0))
-    g = violations(spark, d).groupBy("project_id").agg(bad.alias("bad"), F.sum("n").alias("all"), F.count_if(C("n") > 0).alias("n_failed"))
-    return g.select("project_id", F.when(C("bad") > 0, "CRITICAL").when(C("all") > 0, "WARNING").otherwise("HEALTHY").alias("status"), "n_failed")
-
-
-@query("a07_failed_checks", _HEALTH + " SELECT project_id, list_sort(list(chk)) AS failed FROM v WHERE n > 0 GROUP BY project_id")
-def failed_checks(spark, d):
-    return violations(spark, d).where("n > 0").groupBy("project_id").agg(F.sort_array(F.collect_set("chk")).alias("failed"))
-
-
-@query("v03_first_failure", _HEALTH + " SELECT project_id, arg_min(chk, list_position(['" + "', '".join(CHECK_ORDER) + "'], chk)) AS chk FROM v WHERE n > 0 GROUP BY project_id")
-def first_failure(spark, d):
-    """The check that a validator which stops at the first failure would name."""
-    order = F.array(*[F.lit(c) for c in CHECK_ORDER])
-    return violations(spark, d).where("n > 0").groupBy("project_id").agg(F.min_by("chk", F.array_position(order, C("chk"))).alias("chk"))
-
-
-@query("v02_loop_checks", with_(SPACES, WALLS, _BRIDGE, "b AS (SELECT s.project_id, s.uuid, polygon, area_raw, count(b.wall_uuid) AS named, count(w.uuid) AS found FROM spaces s LEFT JOIN bridge b ON b.project_id = s.project_id AND b.space_uuid = s.uuid LEFT JOIN walls w ON w.project_id = s.project_id AND w.uuid = b.wall_uuid GROUP BY ALL)") + " SELECT uuid, CASE WHEN polygon IS NULL THEN 'invalid_list' WHEN named > found THEN 'missing_reference' WHEN len(list_distinct(polygon)) < 3 THEN 'few_vertices' WHEN area_raw IS NULL OR area_raw <= 1 THEN 'tiny' ELSE 'ok' END AS result FROM b")
-def loop_checks(spark, d):
-    """Checks of each space in order; a failed one hides those after it."""
-    w = walls(spark, d).select("project_id", C("uuid").alias("wall_uuid"), F.lit(1).alias("there"))
-    named = bridge(spark, d).join(w, ["project_id", "wall_uuid"], "left").groupBy("project_id", C("space_uuid").alias("uuid")).agg(F.count_if(C("there").isNull()).alias("missing"))
-    s = spaces(spark, d).join(named, ["project_id", "uuid"], "left")
-    result = F.when(C("v").isNull(), "invalid_list").when(C("missing") > 0, "missing_reference").when(F.size(F.array_distinct("v")) < 3, "few_vertices").when(C("area_raw").isNull() | (C("area_raw") <= 1), "tiny").otherwise("ok")
-    return s.select("uuid", result.alias("result"))
-
-
 @query("v06_typed_references", with_(OPENINGS, SPACES, WALLS, "reg AS (SELECT project_id, uuid, 'wall' AS kind FROM walls UNION ALL SELECT project_id, uuid, lower(category) FROM openings UNION ALL SELECT project_id, uuid, 'space' FROM spaces)", "refs AS (SELECT DISTINCT project_id, uuid, 'wall' AS want, lower(trim(r)) AS r FROM (SELECT project_id, uuid, unnest(related_walls) AS r FROM core_spaces) UNION SELECT DISTINCT project_id, uuid, 'door', lower(trim(r)) FROM (SELECT project_id, uuid, unnest(related_doors) AS r FROM core_spaces) UNION SELECT DISTINCT project_id, uuid, 'window', lower(trim(r)) FROM (SELECT project_id, uuid, unnest(related_windows) AS r FROM core_spaces))") + " SELECT want, CASE WHEN g.uuid IS NULL THEN 'orphan' WHEN g.kind <> want THEN 'wrong_kind' ELSE 'ok' END AS result, count(*) AS n FROM refs LEFT JOIN reg g ON g.project_id = refs.project_id AND g.uuid = r WHERE r <> '' GROUP BY ALL")
 def typed_references(spark, d):
     """References by kind: found, missing, or of another kind."""
