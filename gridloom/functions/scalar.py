@@ -17,6 +17,25 @@ def q(x: Column, digits: int) -> Column:
     return F.floor(x * scale + F.lit(0.5)) / scale
 
 
+def exact_sum(x: Column, digits: int) -> Column:
+    """Sum of the values in whole units of 10^-digits, so that the order of addition doesn't
+    matter."""
+    scale = F.lit(float(10**digits))
+    return F.sum(F.floor(x * scale + F.lit(0.5)).cast("decimal(20,0)")).cast("double") / scale
+
+
+def exact_mean(x: Column, digits: int) -> Column:
+    return exact_sum(x, digits) / F.count(x)
+
+
+def exact_spread(x: Column, digits: int) -> Column:
+    """Standard deviation of the whole, from exact sums of units and of their squares."""
+    scale = F.lit(float(10**digits))
+    unit = F.floor(x * scale + F.lit(0.5)).cast("decimal(18,0)")
+    n, s, s2 = F.count(x).cast("double"), F.sum(unit).cast("double"), F.sum((unit * unit).cast("decimal(38,0)")).cast("double")
+    return F.sqrt(F.greatest(F.lit(0.0), s2 / n - (s / n) * (s / n))) / scale
+
+
 def dist(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     dx, dy = x1 - x0, y1 - y0
     return F.sqrt(dx * dx + dy * dy)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import arrays, scalar
 from gridloom.functions.scalar import q
 from gridloom.operators.graph import neighbours
-from gridloom.plans.base import AUDIT, EDGES, NODES, OPENINGS, SIDES, SPACES, WALLS, audit, edges, nodes, openings, spaces, sq, walls, with_
+from gridloom.plans.base import AUDIT, EDGES, NODES, OPENINGS, SIDES, SPACES, WALLS, audit, edges, nodes, mean_, openings, spaces, spread_, sq, sum_, walls, with_
 from gridloom.session import table
 
 QUERIES: dict = {}
@@ -73,32 +73,32 @@ def type_pivot(spark, d):
     return table(spark, d, "cad_entities").groupBy("project_id").pivot("entity_type", kinds).agg(count()).na.fill(0, kinds)
 
 
-@query("a06_stage_metrics", with_(WALLS, SPACES, "w AS (SELECT project_id, count(*) AS n_walls, sum(" + _LEN + ") AS len FROM walls GROUP BY project_id)", "s AS (SELECT project_id, count(*) AS n_spaces, sum(area_raw) AS area FROM spaces GROUP BY project_id)") + f" SELECT project_id, n_walls, {sq('len', 2)} AS wall_length, n_spaces, {sq('area', 0)} AS area FROM w JOIN s USING (project_id)")
+@query("a06_stage_metrics", with_(WALLS, SPACES, "w AS (SELECT project_id, count(*) AS n_walls, " + sum_(_LEN, 3) + " AS len, list_sort(list(DISTINCT wall_type)) AS wall_types FROM walls GROUP BY project_id)", "s AS (SELECT project_id, count(*) AS n_spaces, " + sum_("area_raw", 3) + " AS area FROM spaces GROUP BY project_id)") + " SELECT project_id, n_walls, len AS wall_length, wall_types, n_spaces, area FROM w JOIN s USING (project_id)")
 def stage_metrics(spark, d):
-    w = walls(spark, d).groupBy("project_id").agg(count().alias("n_walls"), q(F.sum(scalar.dist(*map(C, SEG))), 2).alias("wall_length"))
-    s = spaces(spark, d).groupBy("project_id").agg(count().alias("n_spaces"), q(F.sum("area_raw"), 0).alias("area"))
+    w = walls(spark, d).groupBy("project_id").agg(count().alias("n_walls"), scalar.exact_sum(scalar.dist(*map(C, SEG)), 3).alias("wall_length"), F.sort_array(F.collect_set("wall_type")).alias("wall_types"))
+    s = spaces(spark, d).groupBy("project_id").agg(count().alias("n_spaces"), scalar.exact_sum(C("area_raw"), 3).alias("area"))
     return w.join(s, "project_id")
 
 
 _MEASURED = "m AS (SELECT s.project_id, s.uuid, abs(sum((x0 - ox) * (y1 - oy) - (x1 - ox) * (y0 - oy))) / 2 AS area, sum(" + _LEN + ") AS perimeter FROM sides s JOIN (SELECT project_id, uuid, polygon[1][1] AS ox, polygon[1][2] AS oy FROM spaces) o ON o.project_id = s.project_id AND o.uuid = s.uuid GROUP BY ALL)"
 
 
-@query("a08_room_report", with_(SPACES, SIDES, _MEASURED) + f" SELECT project_id, count(*) AS n, arg_max(uuid, (area, uuid)) AS largest, arg_min(uuid, (area, uuid)) AS smallest, {sq('avg(area)', 1)} AS mean_area, {sq('stddev_pop(area)', 0)} AS std_area FROM m GROUP BY project_id")
+@query("a08_room_report", with_(SPACES, SIDES, _MEASURED) + f" SELECT project_id, count(*) AS n, arg_max(uuid, (area, uuid)) AS largest, arg_min(uuid, (area, uuid)) AS smallest, {sq(mean_('area', 2), 1)} AS mean_area, {sq(spread_('area', 2), 0)} AS std_area FROM m GROUP BY project_id")
 def room_report(spark, d):
     """Rooms per project with the largest and smallest, mean and spread of areas."""
     m = spaces(spark, d).select("project_id", "uuid", F.abs(arrays.signed_area(C("v"))).alias("area"))
-    return m.groupBy("project_id").agg(count().alias("n"), F.max_by("uuid", F.struct("area", "uuid")).alias("largest"), F.min_by("uuid", F.struct("area", "uuid")).alias("smallest"), q(F.avg("area"), 1).alias("mean_area"), q(F.stddev_pop("area"), 0).alias("std_area"))
+    return m.groupBy("project_id").agg(count().alias("n"), F.max_by("uuid", F.struct("area", "uuid")).alias("largest"), F.min_by("uuid", F.struct("area", "uuid")).alias("smallest"), q(scalar.exact_mean(C("area"), 2), 1).alias("mean_area"), q(scalar.exact_spread(C("area"), 2), 0).alias("std_area"))
 
 
-@query("a09_opening_report", with_(OPENINGS) + f" SELECT category, count(*) AS n, {sq('avg(width)', 3)} AS mean_width, min(width) AS min_width, max(width) AS max_width, {sq('stddev_pop(width)', 3)} AS std_width, count(*) FILTER (parent_wall IS NULL) AS n_free FROM openings GROUP BY category")
+@query("a09_opening_report", with_(OPENINGS) + f" SELECT category, count(*) AS n, {sq(mean_('width', 3), 3)} AS mean_width, min(width) AS min_width, max(width) AS max_width, {sq(spread_('width', 3), 2)} AS std_width, count(*) FILTER (parent_wall IS NULL) AS n_free FROM openings GROUP BY category")
 def opening_report(spark, d):
-    return openings(spark, d).groupBy("category").agg(count().alias("n"), q(F.avg("width"), 3).alias("mean_width"), F.min("width").alias("min_width"), F.max("width").alias("max_width"), q(F.stddev_pop("width"), 3).alias("std_width"), F.count_if(C("parent_wall").isNull()).alias("n_free"))
+    return openings(spark, d).groupBy("category").agg(count().alias("n"), q(scalar.exact_mean(C("width"), 3), 3).alias("mean_width"), F.min("width").alias("min_width"), F.max("width").alias("max_width"), q(scalar.exact_spread(C("width"), 3), 2).alias("std_width"), F.count_if(C("parent_wall").isNull()).alias("n_free"))
 
 
-@query("a11_wall_report", with_(WALLS) + f" SELECT project_id, count(*) AS n, {sq('avg(' + _LEN + ')', 3)} AS mean_length, {sq('max(' + _LEN + ')', 3)} AS max_length, {sq('min(' + _LEN + ')', 3)} AS min_length FROM walls GROUP BY project_id")
+@query("a11_wall_report", with_(WALLS) + f" SELECT project_id, count(*) AS n, {sq(mean_(_LEN, 3), 3)} AS mean_length, {sq('max(' + _LEN + ')', 3)} AS max_length, {sq('min(' + _LEN + ')', 3)} AS min_length FROM walls GROUP BY project_id")
 def wall_report(spark, d):
     n = scalar.dist(*map(C, SEG))
-    return walls(spark, d).groupBy("project_id").agg(count().alias("n"), q(F.avg(n), 3).alias("mean_length"), q(F.max(n), 3).alias("max_length"), q(F.min(n), 3).alias("min_length"))
+    return walls(spark, d).groupBy("project_id").agg(count().alias("n"), q(scalar.exact_mean(n, 3), 3).alias("mean_length"), q(F.max(n), 3).alias("max_length"), q(F.min(n), 3).alias("min_length"))
 
 
 _MATCHED = "t AS (SELECT count(*) FILTER (declared = degree) AS tp, count(*) FILTER (declared <> degree) AS fp, count(*) FILTER (declared IS NULL) AS fn FROM deg)"
@@ -211,23 +211,23 @@ def inverted_index(spark, d):
     return table(spark, d, "cad_entities").groupBy("entity_type", "project_id").agg(F.sort_array(F.collect_list("entity_ord")).alias("ords"))
 
 
-@query("a25_short_gaps", with_(NODES) + f" SELECT count(*) AS n, {sq('min(d)', 3)} AS min_d, {sq('max(d)', 3)} AS max_d, {sq('avg(d)', 3)} AS mean_d FROM (SELECT sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM nodes a JOIN nodes b ON a.project_id = b.project_id AND a.node_id < b.node_id AND abs(a.x - b.x) <= 500 AND abs(a.y - b.y) <= 500) WHERE d < 500")
+@query("a25_short_gaps", with_(NODES) + f" SELECT count(*) AS n, {sq('min(d)', 3)} AS min_d, {sq('max(d)', 3)} AS max_d, {sq(mean_('d', 3), 3)} AS mean_d FROM (SELECT sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM nodes a JOIN nodes b ON a.project_id = b.project_id AND a.node_id < b.node_id AND abs(a.x - b.x) <= 500 AND abs(a.y - b.y) <= 500) WHERE d < 500")
 def short_gaps(spark, d):
     from gridloom.operators.spatial import box_join, point_box
 
     n = point_box(nodes(spark, d).select("project_id", "node_id", "x", "y"), "x", "y")
     pairs = box_join(n, n, ["project_id"], 2000.0, 500.0).where("node_id < r_node_id").select(scalar.dist(C("x"), C("y"), C("r_x"), C("r_y")).alias("d")).where("d < 500")
-    return pairs.agg(count().alias("n"), q(F.min("d"), 3).alias("min_d"), q(F.max("d"), 3).alias("max_d"), q(F.avg("d"), 3).alias("mean_d"))
+    return pairs.agg(count().alias("n"), q(F.min("d"), 3).alias("min_d"), q(F.max("d"), 3).alias("max_d"), q(scalar.exact_mean(C("d"), 3), 3).alias("mean_d"))
 
 
-@query("a26_scale_estimate", with_(WALLS) + f" SELECT project_id, {sq('3000 / avg(' + _LEN + ')', 6)} AS scale FROM walls GROUP BY project_id")
+@query("a26_scale_estimate", with_(WALLS) + f" SELECT project_id, {sq('3000 / ' + mean_(_LEN, 3), 6)} AS scale FROM walls GROUP BY project_id")
 def scale_estimate(spark, d):
-    return walls(spark, d).groupBy("project_id").agg(q(F.lit(3000.0) / F.avg(scalar.dist(*map(C, SEG))), 6).alias("scale"))
+    return walls(spark, d).groupBy("project_id").agg(q(F.lit(3000.0) / scalar.exact_mean(scalar.dist(*map(C, SEG)), 3), 6).alias("scale"))
 
 
-@query("a27_role_summary", with_(AUDIT) + f" SELECT coalesce(audit_role, 'unknown') AS role, count(*) AS n, {sq('avg(len_mm)', 3)} AS mean_len, count(DISTINCT project_id) AS n_projects FROM audit GROUP BY ALL")
+@query("a27_role_summary", with_(AUDIT) + f" SELECT coalesce(audit_role, 'unknown') AS role, count(*) AS n, {sq(mean_('len_mm', 3), 3)} AS mean_len, count(DISTINCT project_id) AS n_projects FROM audit GROUP BY ALL")
 def role_summary(spark, d):
-    return audit(spark, d).groupBy(F.coalesce("audit_role", F.lit("unknown")).alias("role")).agg(count().alias("n"), q(F.avg("len_mm"), 3).alias("mean_len"), F.count_distinct("project_id").alias("n_projects"))
+    return audit(spark, d).groupBy(F.coalesce("audit_role", F.lit("unknown")).alias("role")).agg(count().alias("n"), q(scalar.exact_mean(C("len_mm"), 3), 3).alias("mean_len"), F.count_distinct("project_id").alias("n_projects"))
 
 
 @query("a28_single_points", with_(WALLS) + " SELECT project_id, x, y FROM (SELECT project_id, x0 AS x, y0 AS y FROM walls UNION ALL SELECT project_id, x1, y1 FROM walls) GROUP BY ALL HAVING count(*) = 1")

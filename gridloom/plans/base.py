@@ -76,6 +76,22 @@ def sq(expr: str, n: int) -> str:
     return f"(floor(({expr}) * 1e{n} + CAST(0.5 AS DOUBLE)) / 1e{n})"
 
 
+def sum_(expr: str, n: int) -> str:
+    """exact_sum() in SQL."""
+    return f"(sum(floor(({expr}) * 1e{n} + CAST(0.5 AS DOUBLE))::DECIMAL(20,0))::DOUBLE / 1e{n})"
+
+
+def mean_(expr: str, n: int) -> str:
+    """exact_mean() in SQL."""
+    return f"({sum_(expr, n)} / count({expr}))"
+
+
+def spread_(expr: str, n: int) -> str:
+    """exact_spread() in SQL."""
+    u = f"floor(({expr}) * 1e{n} + CAST(0.5 AS DOUBLE))::HUGEINT"
+    return f"(sqrt(greatest(0::DOUBLE, sum({u} * {u})::DOUBLE / count({expr}) - (sum({u})::DOUBLE / count({expr})) * (sum({u})::DOUBLE / count({expr})))) / 1e{n})"
+
+
 def sq_angle(x0: str, y0: str, x1: str, y1: str) -> str:
     """angle180() in SQL."""
     a = f"degrees(atan2(({y1}) - ({y0}), ({x1}) - ({x0})))"

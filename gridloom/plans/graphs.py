@@ -12,7 +12,7 @@ from gridloom.operators.graph import components, prune
 from gridloom.operators.orphans import reference_key
 from gridloom.operators.spatial import box_join, point_box
 from gridloom.plans.aggregates import _DEG, degrees
-from gridloom.plans.base import AUDIT, EDGES, NODES, OPENINGS, SIDES, SPACES, WALLS, audit, edges, nodes, openings, spaces, sq, walls, with_
+from gridloom.plans.base import AUDIT, EDGES, NODES, OPENINGS, SIDES, SPACES, WALLS, audit, edges, nodes, openings, spaces, mean_, sq, sum_, walls, with_
 from gridloom.plans.joins import _BRIDGE, _DANGLING, bridge, dangling
 from gridloom.session import table
 
@@ -64,13 +64,13 @@ def open_context(spark, d):
     return j.groupBy("project_id", "component").agg(count().alias("n_nodes"), F.count_if(C("degree") == 1).alias("n_dangling"), F.count_if(C("degree") == 0).alias("n_isolated"))
 
 
-@query("a20_component_metrics", "WITH RECURSIVE " + ", ".join([NODES, EDGES, _CC]) + f" SELECT cc.project_id, component, count(DISTINCT n) AS n_nodes, {sq('min(x)', 3)} AS min_x, {sq('max(y)', 3)} AS max_y, coalesce(max(l), 0) AS total_len FROM cc JOIN nodes ON nodes.project_id = cc.project_id AND node_id = n LEFT JOIN (SELECT e.project_id, component AS k, {sq('sum(len_mm)', 1)} AS l FROM edges e JOIN cc ON cc.project_id = e.project_id AND cc.n = from_id GROUP BY ALL) t ON t.project_id = cc.project_id AND t.k = component GROUP BY ALL")
+@query("a20_component_metrics", "WITH RECURSIVE " + ", ".join([NODES, EDGES, _CC]) + f" SELECT cc.project_id, component, count(DISTINCT n) AS n_nodes, {sq('min(x)', 3)} AS min_x, {sq('max(y)', 3)} AS max_y, coalesce(max(l), 0) AS total_len FROM cc JOIN nodes ON nodes.project_id = cc.project_id AND node_id = n LEFT JOIN (SELECT e.project_id, component AS k, {sum_('len_mm', 3)} AS l FROM edges e JOIN cc ON cc.project_id = e.project_id AND cc.n = from_id GROUP BY ALL) t ON t.project_id = cc.project_id AND t.k = component GROUP BY ALL")
 def component_metrics(spark, d):
     from gridloom.session import Scratch
 
     cc = Scratch(spark, "metrics").save(graph_components(spark, d))
     n = cc.join(nodes(spark, d), ["project_id", "node_id"]).groupBy("project_id", "component").agg(count().alias("n_nodes"), q(F.min("x"), 3).alias("min_x"), q(F.max("y"), 3).alias("max_y"))
-    l = edges(spark, d).join(cc.withColumnRenamed("node_id", "from_id"), ["project_id", "from_id"]).groupBy("project_id", "component").agg(q(F.sum("len_mm"), 1).alias("total_len"))
+    l = edges(spark, d).join(cc.withColumnRenamed("node_id", "from_id"), ["project_id", "from_id"]).groupBy("project_id", "component").agg(scalar.exact_sum(C("len_mm"), 3).alias("total_len"))
     return n.join(l, ["project_id", "component"], "left").na.fill(0.0, ["total_len"])
 
 
@@ -121,7 +121,7 @@ _LABELS = "lb AS (SELECT project_id, source_id AS n, (min_x + max_x) / 2 AS x, (
 _LINK = recursive("lk", "SELECT project_id, n FROM lb", "SELECT a.project_id, a.n AS a, b.n AS b FROM lb a JOIN lb b ON a.project_id = b.project_id AND a.n < b.n AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 4000")
 
 
-@query("g17_single_linkage", "WITH RECURSIVE " + ", ".join([AUDIT, _LABELS, _LINK]) + f" SELECT lk.project_id, component AS cluster, count(*) AS n, {sq('avg(x)', 2)} AS mean_x, {sq('min(y)', 3)} AS min_y FROM lk JOIN lb ON lb.project_id = lk.project_id AND lb.n = lk.n GROUP BY ALL")
+@query("g17_single_linkage", "WITH RECURSIVE " + ", ".join([AUDIT, _LABELS, _LINK]) + f" SELECT lk.project_id, component AS cluster, count(*) AS n, {sq(mean_('x', 3), 2)} AS mean_x, {sq('min(y)', 3)} AS min_y FROM lk JOIN lb ON lb.project_id = lk.project_id AND lb.n = lk.n GROUP BY ALL")
 def single_linkage(spark, d):
     """Clusters of room labels at most 4000 apart, with their middle and bounds."""
     from gridloom.plans.joins import labels
@@ -130,7 +130,7 @@ def single_linkage(spark, d):
     box = point_box(l, "x", "y")
     p = box_join(box, box, ["project_id"], 5000.0, 4000.0).where((C("source_id") < C("r_source_id")) & (scalar.dist(C("x"), C("y"), C("r_x"), C("r_y")) <= 4000))
     cc = components(l, p.select("project_id", C("source_id").alias("a"), C("r_source_id").alias("b")), ["project_id", "source_id"], "cluster")
-    return l.join(cc, ["project_id", "source_id"]).groupBy("project_id", "cluster").agg(count().alias("n"), q(F.avg("x"), 2).alias("mean_x"), q(F.min("y"), 3).alias("min_y"))
+    return l.join(cc, ["project_id", "source_id"]).groupBy("project_id", "cluster").agg(count().alias("n"), q(scalar.exact_mean(C("x"), 3), 2).alias("mean_x"), q(F.min("y"), 3).alias("min_y"))
 
 
 @query("g01_snapped_points")
@@ -151,7 +151,7 @@ def seed_centroids(spark, d):
     w = Window.partitionBy("project_id").orderBy("x", "y", "node_id")
     p = Scratch(spark, "seeds").save(n.select("project_id", F.row_number().over(w).cast("long").alias("pid"), "x", "y"))
     lead = topology.snap_to_leaders(p, 1500.0)
-    return lead.join(p, ["project_id", "pid"]).groupBy("project_id", C("leader").alias("seed")).agg(count().alias("n"), q(F.avg("x"), 3).alias("x"), q(F.avg("y"), 3).alias("y"))
+    return lead.join(p, ["project_id", "pid"]).groupBy("project_id", C("leader").alias("seed")).agg(count().alias("n"), q(scalar.exact_mean(C("x"), 3), 3).alias("x"), q(scalar.exact_mean(C("y"), 3), 3).alias("y"))
 
 
 @query("g04_merged_walls", with_(WALLS, "h AS (SELECT project_id, wall_type, uuid, x0, y0, x1, y1 FROM walls)") + " SELECT count(*) > 0 AS merged, sum(len)::BIGINT AS total FROM (SELECT round(sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)))::BIGINT AS len FROM h)")

@@ -10,7 +10,7 @@ from gridloom.functions.scalar import q
 from gridloom.operators import matching, topology
 from gridloom.operators.graph import components
 from gridloom.operators.spatial import box_join, nearest, point_box, with_box
-from gridloom.plans.base import AUDIT, EDGES, NODES, OPENINGS, SIDES, SPACES, WALLS, audit, nodes, openings, space_sides, spaces, sq, walls, with_
+from gridloom.plans.base import AUDIT, EDGES, NODES, OPENINGS, SIDES, SPACES, WALLS, audit, nodes, openings, space_sides, spaces, sq, sum_, walls, with_
 from gridloom.plans.graphs import _CC, _STRUCT, _REG, _faces, graph_components, recursive, regions
 from gridloom.plans.joins import _BRIDGE, _pt, bridge
 from gridloom.session import Scratch, table
@@ -241,10 +241,10 @@ def run_summary(spark, d):
     return p.agg(count().alias("n_projects"), F.count_if("ok").alias("n_ok"), q(F.avg(C("ok").cast("double")), 6).alias("rate"), q(F.avg(C("nw").cast("double")), 4).alias("mean_walls"))
 
 
-@query("c06_rooms", with_(SPACES, SIDES) + f" SELECT project_id, count(*) AS n_rooms, {sq('sum(a)', 0)} AS area FROM (SELECT project_id, uuid, (max(x0) - min(x0)) * (max(y0) - min(y0)) AS a FROM sides GROUP BY ALL) WHERE a >= 5000 GROUP BY project_id")
+@query("c06_rooms", with_(SPACES, SIDES) + f" SELECT project_id, count(*) AS n_rooms, {sq(sum_('a', 1), 0)} AS area FROM (SELECT project_id, uuid, (max(x0) - min(x0)) * (max(y0) - min(y0)) AS a FROM sides GROUP BY ALL) WHERE a >= 5000 GROUP BY project_id")
 def rooms(spark, d):
     """Rooms found from walls alone, without small faces."""
-    return _faces(spark, d).where("area >= 5000").groupBy("project_id").agg(count().alias("n_rooms"), q(F.sum("area"), 0).alias("area"))
+    return _faces(spark, d).where("area >= 5000").groupBy("project_id").agg(count().alias("n_rooms"), q(scalar.exact_sum(C("area"), 1), 0).alias("area"))
 
 
 @query("c07_openings_in_rooms", with_(OPENINGS, SPACES, SIDES, "b AS (SELECT project_id, uuid, min(x0) AS ax, min(y0) AS ay, max(x0) AS bx, max(y0) AS b_y FROM sides GROUP BY ALL)") + " SELECT o.uuid, o.category, min(b.uuid) AS room FROM openings o LEFT JOIN b ON b.project_id = o.project_id AND (o.x0 + o.x1) / 2 BETWEEN ax - 10 AND bx + 10 AND (o.y0 + o.y1) / 2 BETWEEN ay - 10 AND b_y + 10 GROUP BY ALL")
