@@ -110,7 +110,7 @@ def sweep(start: Column, end: Column) -> Column:
 
 def node_type(degree: Column, opening: Column) -> Column:
     """Kind of a graph node from its degree, and for two edges the angle between them."""
-    return F.when(degree == 0, "isolated").when(degree == 1, "end").when(degree == 2, F.when(opening > 165, "straight").otherwise("L_corner")).when(degree == 3, "T").otherwise("X")
+    return F.when(degree <= 1, "end").when(degree == 2, F.when(opening > 165, "straight").otherwise("L_corner")).when(degree == 3, "T").otherwise("X")
 
 
 def has_any(text: Column, words: Sequence[str]) -> Column:

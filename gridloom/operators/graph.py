@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from gridloom.session import Scratch
 
-MAX_ROUNDS = 200
-
-
 def neighbours(edges: DataFrame, scope: str = "project_id", src: str = "from_id", dst: str = "to_id") -> DataFrame:
     """scope, node_id, other: both directions of every edge once, without self loops."""
     e = edges.where(F.col(src) != F.col(dst))
@@ -24,13 +21,13 @@ def components(nodes: DataFrame, pairs: DataFrame, keys: Sequence[str], label: s
     nodes has `keys` (the last one is the node, those before it its scope); pairs has
     the scope, a and b. In a round each node takes the least label among its neighbours, and so
     does the node that its label names; labels then jump twice to the labels of labels. So whole
-    trees join at once, and a path of n nodes takes about log n rounds. Each round is written to
-    the shared folder."""
+    trees join at once, and a path of n nodes takes about log n rounds. Labels only fall, so
+    rounds end for any input. Each is written to the shared folder."""
     *scope, node = keys
     scratch = Scratch(nodes.sparkSession, "components")
     both = scratch.save(pairs.select(*scope, "a", "b").union(pairs.select(*scope, F.col("b"), F.col("a"))).where(F.col("a") != F.col("b")).distinct(), "pairs")
     state, _ = scratch.save_with(nodes.select(*scope, F.col(node).alias("n")).distinct().withColumn("l", F.col("n")), "labels", n=F.count(F.lit(1)))
-    for _ in range(MAX_ROUNDS):
+    while True:
         near = both.join(state.select(*scope, F.col("n").alias("b"), "l"), [*scope, "b"]).groupBy(*scope, F.col("a").alias("n")).agg(F.min("l").alias("m"))
         found = state.join(near, [*scope, "n"]).where(F.col("m") < F.col("l"))
         hooks = found.select(*scope, F.explode(F.array("n", "l")).alias("n"), "m").groupBy(*scope, "n").agg(F.min("m").alias("m"))
@@ -44,7 +41,6 @@ def components(nodes: DataFrame, pairs: DataFrame, keys: Sequence[str], label: s
             scratch.drop(step)
             step = far
         state = step
-    raise RuntimeError(f"labels still move after {MAX_ROUNDS} rounds")
 
 
 def prune(edges: DataFrame, scope: str = "project_id", a: str = "a", b: str = "b") -> DataFrame:
@@ -139,7 +135,7 @@ def min_over_cycle(successor: DataFrame, scope: str, node: str, following: str)
     pointer doubling. Every node must have one follower and be one's follower."""
     scratch = Scratch(successor.sparkSession, "cycles")
     now = scratch.save(successor.select(scope, F.col(node).alias("n"), F.col(following).alias("f"), F.least(node, following).alias("m")), "jump")
-    for _ in range(64):
+    while True:
         far = now.select(scope, F.col("n").alias("f"), F.col("f").alias("ff"), F.col("m").alias("mm"))
         step = now.join(far, [scope, "f"]).select(scope, "n", F.col("ff").alias("f"), F.least("m", "mm").alias("new"), "m")
         new, seen = scratch.save_with(step.select(scope, "n", "f", F.col("new").alias("m"), (F.col("new") != F.col("m")).alias("moved")), "jump", moved=F.count_if("moved"))

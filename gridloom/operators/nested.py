@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import lru_cache
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
@@ -168,19 +169,27 @@ def first_place(owner: dict, places: Iterable[Sequence[str]]) -> object:
     return None
 
 
-def item_triples(item: object, ordinal: int, aliases: Mapping[str, Sequence[Sequence[str]]], keep: frozenset[str] | None, max_depth: int) -> Iterator[tuple]:
-    """Depth first, without recursion. `aliases` names values that have several
+@lru_cache(64)
+def _ways(keep: frozenset[str]) -> frozenset[str]:
+    """All paths on the way to the kept ones, these included."""
+    out = set()
+    for p in keep:
+        for i in range(1, len(p) + 1):
+            if i == len(p) or p[i] == "." or p[i : i + 2] == "[]":
+                out.add(p[:i])
+    return frozenset(out)
+
+
+def item_triples(item: object, ordinal: int, aliases: Mapping[str, Sequence[Sequence[str]]], keep: frozenset[str] | None) -> Iterator[tuple]:
+    """Depth first, without recursion, however deep. `aliases` names values that have several
     places; they come under their own name and before the raw fields. Without
-    `keep` every path comes out, with it only the named ones; raw fields then
-    aren't walked unless a kept path begins so."""
+    `keep` every path comes out, with it only the named ones, and only their ancestors are walked."""
     todo: list[tuple[str, tuple[int, ...], object]] = [("[]", (ordinal,), item)]
-    roots = None if keep is None else {p.split(".")[1].rstrip("[]") for p in keep if "." in p}
+    ways = None if keep is None else _ways(keep)
     while todo:
         path, ords, value = todo.pop()
         if keep is None or path in keep:
             yield (path, ords, *_leaf(value))
-        if len(ords) + path.count(".") > max_depth:
-            continue
         if isinstance(value, dict):
             own = []
             if path == "[]":
@@ -188,11 +197,12 @@ def item_triples(item: object, ordinal: int, aliases: Mapping[str, Sequence[Sequ
                 own = [(k, v) for k, v in own if v is not None]
             fields = [*own, *((k, v) for k, v in value.items() if k not in aliases or path != "[]")]
             for k, v in reversed(fields):
-                if roots is None or path != "[]" or k in roots:
-                    todo.append((f"{path}.{_plain(k)}", ords, v))
+                below = f"{path}.{_plain(k)}"
+                if ways is None or below in ways:
+                    todo.append((below, ords, v))
         elif isinstance(value, list):
             below = f"{path}[]"
-            if keep is None or any(p.startswith(below) for p in keep):
+            if ways is None or below in ways:
                 for i in range(len(value) - 1, -1, -1):
                     todo.append((below, (*ords, i), value[i]))
 
@@ -202,14 +212,12 @@ def to_triples(
     id_col: str,
     columns: Mapping[str, Mapping[str, Sequence[Sequence[str]]]],
     keep: Iterable[str] | None = None,
-    max_depth: int = 64,
 ) -> DataFrame:
     """(id, column_name, path, ordinals, kind, value) of the JSON texts in the
     named columns, which map to their aliases.
 
     A null text and one that isn't complete valid JSON give no triples; the
-    record's other columns still do. Levels below `max_depth` come out as their
-    containers only. Extra columns of `df` aren't read. One narrow stage."""
+    record's other columns still do. All levels come out, however deep. Extra columns of `df` aren't read. One narrow stage."""
     kept = None if keep is None else frozenset(keep)
     names = list(columns)
     id_type = df.schema[id_col].dataType.simpleString()
@@ -237,7 +245,7 @@ def to_triples(
                         continue
                     rid = ids[i].as_py()
                     for k, item in enumerate(items):
-                        for t in item_triples(item, k, columns[name], kept, max_depth):
+                        for t in item_triples(item, k, columns[name], kept):
                             out.append((rid, name, *t))
                             if len(out) >= OUT_ROWS:
                                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)

@@ -82,13 +82,14 @@ def best(pairs: DataFrame, ids: Sequence[str], order: Sequence[Column], take: Se
     return got.select(*ids, *[F.col(f"_b.{t}").alias(t) for t in take])
 
 
-def nearest(points: DataFrame, targets: DataFrame, keys: Sequence[str], ids: Sequence[str], order: Column, take: Sequence[str], start: float, distance: Column | None = None, growth: float = 4.0, max_steps: int = 16) -> DataFrame:
+def nearest(points: DataFrame, targets: DataFrame, keys: Sequence[str], ids: Sequence[str], order: Column, take: Sequence[str], start: float, distance: Column | None = None, growth: float = 4.0) -> DataFrame:
     """For each point (columns x, y) the target box with the least distance, however
     far. `distance` is over a pair's columns (r_... for the target); it can't be less than the
     distance of the boxes on one axis. By default the targets are points r_x, r_y.
 
     The search goes outward: points without an answer within the radius go on with a
-    larger one; so no step pairs all points with all targets."""
+    larger one, until none is left or the radius passes the extent of all; so no step pairs all
+    points with all targets."""
     scratch = Scratch(points.sparkSession, "nearest")
     d = distance if distance is not None else dist(F.col("x"), F.col("y"), F.col("r_x"), F.col("r_y"))
     targets = scratch.save(targets.dropna(subset=[*keys, *BOX]), "targets")
@@ -97,9 +98,7 @@ def nearest(points: DataFrame, targets: DataFrame, keys: Sequence[str], ids: Seq
     ends = left.select(*BOX).unionAll(targets.select(*BOX)).agg(F.min("min_x"), F.min("min_y"), F.max("max_x"), F.max("max_y")).first()
     extent = max(ends[2] - ends[0], ends[3] - ends[1]) * 1.5 if ends[0] is not None else 0.0
     radius, found, last = start, None, False
-    for _ in range(max_steps):
-        if last or left.isEmpty():
-            break
+    while not last and not left.isEmpty():
         last = radius > extent
         pairs = box_join(left, targets, keys, radius, radius).withColumn("_d", d).where(F.col("_d") <= radius)
         step = scratch.save(best(pairs, ids, [F.col("_d"), order], ["_d", *take]), "step")

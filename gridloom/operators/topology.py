@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.scalar import along, crossing, dist, folded, angle180, q, to_segment
-from gridloom.operators.graph import components, first_leaders, min_over_cycle, prune
+from gridloom.operators.graph import components, first_leaders, min_over_cycle
 from gridloom.operators.matching import A, B, cols, project_nearest
+from gridloom.operators.ranks import ranked
 from gridloom.operators.spatial import best, box_join, point_box, with_box
 from gridloom.session import Scratch
 
@@ -108,14 +109,15 @@ def planar_parts(segs: DataFrame, splits: DataFrame | None = None, cell: float =
 
 def graph_of(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes: project_id, id, x, y, degree; edges: project_id, id, a, b, length) with ids by place."""
+    scratch = Scratch(parts.sparkSession, "graph")
+    parts = scratch.save(parts, "parts")
     ends = parts.select("project_id", C("x0").alias("x"), C("y0").alias("y")).unionAll(parts.select("project_id", "x1", "y1"))
     deg = ends.groupBy("project_id", "x", "y").agg(F.count(F.lit(1)).alias("degree"))
-    nodes = deg.withColumn("id", (F.row_number().over(Window.partitionBy("project_id").orderBy("x", "y")) - 1).cast("long")).select("project_id", "id", "x", "y", "degree")
-    nodes = Scratch(parts.sparkSession, "graph").save(nodes, "nodes")
+    nodes = ranked(deg, ["project_id"], ["x", "y"], "id").select("project_id", (C("id") - 1).alias("id"), "x", "y", "degree")
+    nodes = scratch.save(nodes, "nodes")
     at = lambda k, n: nodes.select("project_id", C("x").alias(f"x{k}"), C("y").alias(f"y{k}"), C("id").alias(n))
     e = parts.join(at(0, "a"), ["project_id", "x0", "y0"]).join(at(1, "b"), ["project_id", "x1", "y1"])
-    w = Window.partitionBy("project_id").orderBy("a", "b")
-    return nodes, e.select("project_id", (F.row_number().over(w) - 1).cast("long").alias("id"), "a", "b", q(dist(*cols(SEG)), 3).alias("length"))
+    return nodes, ranked(e, ["project_id"], ["a", "b"], "id").select("project_id", (C("id") - 1).alias("id"), "a", "b", q(dist(*cols(SEG)), 3).alias("length"))
 
 
 def _rings(half: DataFrame) -> DataFrame:
@@ -133,30 +135,60 @@ def _rings(half: DataFrame) -> DataFrame:
 
 
 def faces(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Bounded faces of a planar graph: project_id, ring, area (of the outer ring), n_edges,
-    min_x, min_y. Dangling edges and bridges belong to none.
-
-    Leaves are pruned to a fixed point, half-edges follow each other by angle around
-    nodes, rings get their least half-edge by pointer doubling; rings that run
-    counter-clockwise are faces. Areas are taken from the project's corner, so that far
-    coordinates keep their digits."""
+    """Bounded faces of a planar graph: project_id, ring, area (of the outer ring less its
+    holes), n_edges, min_x, min_y, n_holes. Dangling edges and bridges belong to none.
+
+    Half-edges follow each other by angle around nodes, and rings get their least half-edge by
+    pointer doubling. An edge with one ring on both sides is a bridge or dangles; without those
+    no edge is one, so that rings are found twice at most. Rings that run counter-clockwise
+    are faces. A ring that runs clockwise is the outline of its component: it is a hole of the
+    smallest face of another component that holds its lowest corner. Areas are taken from the
+    project's corner, so that far coordinates keep their digits."""
     scratch = Scratch(nodes.sparkSession, "faces")
-    e = prune(edges.select("project_id", "a", "b"))
+    e = edges.select("project_id", "a", "b")
     at = lambda k: nodes.select("project_id", C("id").alias(k), C("x").alias(f"{k}x"), C("y").alias(f"{k}y"))
     both = e.union(e.select("project_id", C("b"), C("a")))
     half = scratch.save(both.join(at("a"), ["project_id", "a"]).join(at("b"), ["project_id", "b"]), "half")
-    for _ in range(64):
+
+    def sides(half: DataFrame) -> tuple[DataFrame, int]:
         rung = scratch.save(_rings(half), "rings")
         back = rung.select("project_id", C("a").alias("b"), C("b").alias("a"), C("ring").alias("other"))
         marked = rung.join(back, ["project_id", "a", "b"]).withColumn("is_bridge", C("ring") == C("other")).drop("other")
         kept, seen = scratch.save_with(marked, "kept", bridges=F.count_if("is_bridge"))
-        if not seen["bridges"]:
-            break
-        half = scratch.save(kept.where(~C("is_bridge")).drop("ring", "is_bridge"), "half")
+        return kept, seen["bridges"] or 0
+    kept, bridges = sides(half)
+    if bridges:
+        kept, bridges = sides(scratch.save(kept.where(~C("is_bridge")).drop("ring", "is_bridge"), "half"))
+        if bridges:
+            raise RuntimeError("an edge of a ring lies on one side only: the graph isn't planar")
     corner = nodes.groupBy("project_id").agg(F.min("x").alias("ox"), F.min("y").alias("oy"))
     cross = (C("ax") - C("ox")) * (C("by") - C("oy")) - (C("bx") - C("ox")) * (C("ay") - C("oy"))
-    got = kept.join(corner, "project_id").groupBy("project_id", "ring").agg((F.sum(cross) / 2).alias("area"), F.count(F.lit(1)).alias("n_edges"), F.min("ax").alias("min_x"), F.min("ay").alias("min_y"))
-    return got.where("area > 0")
+    first = F.min(F.struct(C("ax").alias("x"), C("ay").alias("y"))).alias("first")
+    got = kept.join(corner, "project_id").groupBy("project_id", "ring").agg((F.sum(cross) / 2).alias("area"), F.count(F.lit(1)).alias("n_edges"), F.min("ax").alias("min_x"), F.min("ay").alias("min_y"), F.max("ax").alias("max_x"), F.max("ay").alias("max_y"), first)
+    got = scratch.save(got, "found")
+    inner = got.where("area > 0").select("project_id", "ring", "area", "n_edges", "min_x", "min_y", "max_x", "max_y")
+    holes = _holes(scratch, inner, got.where("area < 0"), kept)
+    lost = holes.groupBy("project_id", "ring").agg(F.sum("hole").alias("hole"), F.count(F.lit(1)).alias("n_holes"))
+    out = inner.join(lost, ["project_id", "ring"], "left")
+    return out.select("project_id", "ring", (C("area") - F.coalesce("hole", F.lit(0.0))).alias("area"), "n_edges", "min_x", "min_y", F.coalesce("n_holes", F.lit(0)).alias("n_holes"))
+
+
+def _holes(scratch: Scratch, inner: DataFrame, outlines: DataFrame, kept: DataFrame) -> DataFrame:
+    """project_id, ring (of the face), hole (area of the outline in it).
+
+    Candidates are faces whose box holds the outline's box; a ray to the right of the outline's
+    first corner counts the sides of a candidate that it meets. A component's own faces touch its
+    outline: they end at the corner or begin there, and a face whose box begins at the outline's
+    corner or has it as a vertex holds nothing of it."""
+    o = outlines.select("project_id", C("ring").alias("outline"), (-C("area")).alias("hole"), C("first.x").alias("px"), C("first.y").alias("py"), "min_x", "min_y", "max_x", "max_y")
+    f = inner.select("project_id", "ring", "area", "min_x", "min_y", "max_x", "max_y")
+    pairs = box_join(point_box(o.select("project_id", "outline", "hole", "px", "py", C("max_x").alias("ox"), C("max_y").alias("oy"), C("min_y").alias("o_min_y")), "px", "py"), f, ["project_id"], 5_000.0)
+    inside = (C("r_min_x") < C("px")) & (C("r_max_x") > C("ox")) & (C("r_min_y") < C("o_min_y")) & (C("r_max_y") > C("oy"))
+    pairs = scratch.save(pairs.where(inside).select("project_id", "outline", "hole", "px", "py", C("r_ring").alias("ring"), C("r_area").alias("area")), "nested")
+    sides = kept.join(pairs.select("project_id", "ring").distinct(), ["project_id", "ring"], "left_semi").select("project_id", "ring", "ax", "ay", "bx", "by")
+    meets = ((C("ay") > C("py")) != (C("by") > C("py"))) & (C("px") < (C("bx") - C("ax")) * (C("py") - C("ay")) / F.nullif(C("by") - C("ay"), F.lit(0.0)) + C("ax"))
+    hit = pairs.join(sides, ["project_id", "ring"]).groupBy("project_id", "outline", "hole", "ring", "area").agg(F.count_if(meets).alias("k")).where("k % 2 = 1")
+    return best(hit, ["project_id", "outline"], [C("area"), C("ring")], ["ring", "hole"]).select("project_id", "ring", "hole")
 
 
 def dbscan(points: DataFrame, eps: float, least: int) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from gridloom.functions import arrays, scalar
 from gridloom.functions.scalar import q
 from gridloom.operators.graph import neighbours
+from gridloom.operators.ranks import quantiles, ranked
 from gridloom.plans.base import AUDIT, EDGES, NODES, OPENINGS, SIDES, SPACES, WALLS, audit, edges, nodes, mean_, openings, spaces, spread_, sq, sum_, walls, with_
-from gridloom.session import table
+from gridloom.session import Scratch, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -127,8 +128,9 @@ _LENS = "l AS (SELECT project_id, len_mm AS n, greatest(max_x - min_x, max_y - m
 def robust_thresholds(spark, d):
     """Median, median deviation and 95th percentile per project, and the bounded distances made of them."""
     l = audit(spark, d).where("audit_role = 'structural' AND len_mm > 1e-6").select("project_id", C("len_mm").alias("n"), F.greatest(C("max_x") - C("min_x"), C("max_y") - C("min_y")).alias("span"))
-    m = l.groupBy("project_id").agg(F.percentile("n", 0.5).alias("med"), F.percentile("span", 0.95).alias("p95"))
-    a = l.join(m, "project_id").groupBy("project_id").agg(F.percentile(F.abs(C("n") - C("med")), 0.5).alias("mad"))
+    m = quantiles(l, ["project_id"], "n", [("med", 0.5)]).join(quantiles(l, ["project_id"], "span", [("p95", 0.95)]), "project_id")
+    m = Scratch(spark, "medians").save(m)
+    a = quantiles(l.join(m, "project_id").select("project_id", F.abs(C("n") - C("med")).alias("off")), ["project_id"], "off", [("mad", 0.5)])
     clamp = lambda x, lo, hi: F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), x))
     return m.join(a, "project_id").select("project_id", q(C("med"), 3).alias("median_mm"), q(C("mad"), 3).alias("mad_mm"), q(C("p95"), 3).alias("span_p95"), q(clamp(C("med") * 0.2, 100, 500), 3).alias("proximity"), q(clamp(C("med") * 1.5, 750, 3000), 3).alias("attachment"))
 
@@ -156,10 +158,10 @@ def region_kinds(spark, d):
 
 # Terms in texts that speak for a kind of drawing, with their weight and order.
 TERMS = (
-    ("floor_plan", "MUTFAK", 1.0), ("floor_plan", "SALON", 1.0), ("floor_plan", "BANYO", 1.0), ("floor_plan", "HOL", 1.0), ("floor_plan", "KAT PLANI", 1.0), ("floor_plan", "ZEMIN KAT", 1.0),
-    ("section", "KESIT", 1.0), ("section", "A A", 1.0), ("section", "B B", 1.0),
-    ("elevation", "GORUNUS", 1.0), ("elevation", "CEPHE", 1.0), ("elevation", "ON GOR", 1.0), ("elevation", "ARKA GOR", 1.0), ("elevation", "YAN GOR", 1.0),
-    ("roof_plan", "CATI", 1.0), ("roof_plan", "ROOF", 1.0),
+    ("floor_plan", "MUTFAK", 1.0), ("floor_plan", "SALON", 1.0), ("floor_plan", "BANYO", 1.0), ("floor_plan", "Y ODASI", 1.0), ("floor_plan", "HOL", 1.0), ("floor_plan", "KAT PLANI", 1.0), ("floor_plan", "ZEMIN KAT", 1.0),
+    ("section", "KESIT", 1.0), ("section", "KES?T", 1.0), ("section", "A A", 1.0), ("section", "B B", 1.0),
+    ("elevation", "GORUNUS", 1.0), ("elevation", "G?R?N??", 1.0), ("elevation", "CEPHE", 1.0), ("elevation", "ON GOR", 1.0), ("elevation", "ARKA GOR", 1.0), ("elevation", "YAN GOR", 1.0),
+    ("roof_plan", "CATI", 1.0), ("roof_plan", "C?ATI", 1.0), ("roof_plan", "ROOF", 1.0),
     ("site_plan", "VAZIYET", 1.0), ("site_plan", "SITE PLAN", 1.0), ("site_plan", "PARSEL", 1.0),
 )
 _KEY = "trim(regexp_replace(upper(translate(translate(replace(text, 'ß', 'ss'), 'ıİşŞğĞçÇöÖüÜâÂîÎûÛáÁéÉíÍóÓúÚ', 'iIsSgGcCoOuUaAiIuUaAeEiIoOuU'), 'ãÃõÕ', 'aAoO')), '[^A-Z0-9?]+', ' ', 'g'))"
@@ -204,11 +206,12 @@ def tolerance_bands(spark, d):
     return one.select(F.explode(rows).alias("r")).select("r.*").where("n_short > 0")
 
 
-@query("a24_inverted_index", "SELECT entity_type, project_id, list_sort(list(entity_ord)) AS ords FROM cad_entities GROUP BY ALL")
+@query("a24_inverted_index", "SELECT entity_type, project_id, entity_ord // 4096 AS chunk, list_sort(list(entity_ord)) AS ords FROM cad_entities GROUP BY ALL")
 def inverted_index(spark, d):
-    """Ordinals of each type in each project. Groups are gathered into arrays because arrays
-    are the result; an array holds one project's ordinals."""
-    return table(spark, d, "cad_entities").groupBy("entity_type", "project_id").agg(F.sort_array(F.collect_list("entity_ord")).alias("ords"))
+    """Ordinals of each type in each project, as arrays of one block of 4096 ordinals each: an
+    array is bounded, and so is what a task gathers."""
+    rows = table(spark, d, "cad_entities").select("entity_type", "project_id", F.floor(C("entity_ord") / 4096).alias("chunk"), "entity_ord")
+    return rows.groupBy("entity_type", "project_id", "chunk").agg(F.sort_array(F.collect_list("entity_ord")).alias("ords"))
 
 
 @query("a25_short_gaps", with_(NODES) + f" SELECT count(*) AS n, {sq('min(d)', 3)} AS min_d, {sq('max(d)', 3)} AS max_d, {sq(mean_('d', 3), 3)} AS mean_d FROM (SELECT sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM nodes a JOIN nodes b ON a.project_id = b.project_id AND a.node_id < b.node_id AND abs(a.x - b.x) <= 500 AND abs(a.y - b.y) <= 500) WHERE d < 500")
@@ -291,16 +294,14 @@ def split_intervals(spark, d):
 @query("w06_relative_position", with_(SPACES, SIDES, "c AS (SELECT project_id, uuid, min(y0) AS y FROM sides GROUP BY ALL)", "r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY y, uuid) - 1 AS i, count(*) OVER (PARTITION BY project_id) AS n FROM c)") + f" SELECT uuid, {sq('i / greatest(n - 1, 1)', 6)} AS ratio, CASE WHEN i = 0 THEN 'ground' WHEN i = n - 1 THEN 'roof' ELSE 'floor' END AS level FROM r")
 def relative_position(spark, d):
     c = spaces(spark, d).select("project_id", "uuid", arrays.bounds(C("v"))["min_y"].alias("y"))
-    w = Window.partitionBy("project_id")
-    r = c.withColumns({"i": F.row_number().over(w.orderBy("y", "uuid")) - 1, "n": count().over(w)})
+    r = ranked(c, ["project_id"], ["y", "uuid"], "i").withColumn("i", C("i") - 1).join(c.groupBy("project_id").agg(count().alias("n")), "project_id")
     return r.select("uuid", q(C("i") / F.greatest(C("n") - 1, F.lit(1)), 6).alias("ratio"), F.when(C("i") == 0, "ground").when(C("i") == C("n") - 1, "roof").otherwise("floor").alias("level"))
 
 
 @query("w08_canonical_ids", with_(NODES) + " SELECT project_id, node_id, row_number() OVER (PARTITION BY project_id ORDER BY x NULLS FIRST, y NULLS FIRST, node_id) - 1 AS new_id FROM nodes")
 def canonical_ids(spark, d):
     """Node numbers by place."""
-    w = Window.partitionBy("project_id").orderBy("x", "y", "node_id")
-    return nodes(spark, d).select("project_id", "node_id", (F.row_number().over(w) - 1).cast("long").alias("new_id"))
+    return ranked(nodes(spark, d), ["project_id"], ["x", "y", "node_id"], "new_id").select("project_id", "node_id", (C("new_id") - 1).alias("new_id"))
 
 
 @query("w09_edge_fans", with_(NODES, EDGES, "h AS (SELECT project_id, from_id AS n, to_id AS o FROM edges WHERE from_id <> to_id UNION SELECT project_id, to_id, from_id FROM edges WHERE from_id <> to_id)", f"a AS (SELECT h.*, {sq('degrees(atan2(q.y - p.y, q.x - p.x))', 6)} AS a FROM h JOIN nodes p ON p.project_id = h.project_id AND p.node_id = n JOIN nodes q ON q.project_id = h.project_id AND q.node_id = o)") + " SELECT project_id, n AS node_id, o AS other, coalesce(lead(o) OVER w, first_value(o) OVER w) AS next_other FROM a WINDOW w AS (PARTITION BY project_id, n ORDER BY a, o ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
@@ -325,14 +326,14 @@ def canonical_rings(spark, d):
 @query("o01_entity_order", "SELECT row_id, row_number() OVER (PARTITION BY project_id ORDER BY entity_type, coalesce(layer, ''), coalesce(start_pt, ''), coalesce(end_pt, ''), row_id) AS ord FROM cad_entities")
 def entity_order(spark, d):
     e = lambda c: F.coalesce(c, F.lit(""))
-    w = Window.partitionBy("project_id").orderBy("entity_type", e("layer"), e("start_pt"), e("end_pt"), "row_id")
-    return table(spark, d, "cad_entities").select("row_id", F.row_number().over(w).cast("long").alias("ord"))
+    rows = table(spark, d, "cad_entities").select("project_id", "row_id", "entity_type", *[e(c).alias(c) for c in ("layer", "start_pt", "end_pt")])
+    return ranked(rows, ["project_id"], ["entity_type", "layer", "start_pt", "end_pt", "row_id"]).select("row_id", "ord")
 
 
 @query("o04_wall_order", with_(WALLS) + " SELECT uuid, row_number() OVER (PARTITION BY project_id ORDER BY least(x0, x1), least(y0, y1), greatest(x0, x1), greatest(y0, y1), uuid) AS ord FROM walls")
 def wall_order(spark, d):
-    w = Window.partitionBy("project_id").orderBy(F.least("x0", "x1"), F.least("y0", "y1"), F.greatest("x0", "x1"), F.greatest("y0", "y1"), "uuid")
-    return walls(spark, d).select("uuid", F.row_number().over(w).cast("long").alias("ord"))
+    w = walls(spark, d).select("project_id", "uuid", F.least("x0", "x1").alias("a"), F.least("y0", "y1").alias("b"), F.greatest("x0", "x1").alias("c"), F.greatest("y0", "y1").alias("e"))
+    return ranked(w, ["project_id"], ["a", "b", "c", "e", "uuid"]).select("uuid", "ord")
 
 
 @query("o07_largest_first", with_(SPACES, "r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY area_raw DESC, uuid) AS n FROM spaces WHERE area_raw IS NOT NULL)") + " SELECT project_id, uuid, area_raw FROM r WHERE n = 1")

@@ -10,6 +10,7 @@ from gridloom.functions.scalar import q
 from gridloom.operators import topology
 from gridloom.operators.graph import components, prune
 from gridloom.operators.orphans import reference_key
+from gridloom.operators.ranks import ranked
 from gridloom.operators.spatial import box_join, point_box
 from gridloom.plans.aggregates import _DEG, degrees
 from gridloom.plans.base import AUDIT, EDGES, NODES, OPENINGS, SIDES, SPACES, WALLS, audit, edges, nodes, openings, spaces, mean_, sq, sum_, walls, with_
@@ -77,7 +78,7 @@ def component_metrics(spark, d):
 @query("o08_components_by_size", "WITH RECURSIVE " + ", ".join([NODES, EDGES, _CC]) + ", s AS (SELECT project_id, component, count(*) AS n FROM cc GROUP BY ALL) SELECT project_id, component, n, row_number() OVER (PARTITION BY project_id ORDER BY n DESC, component) AS rank FROM s")
 def components_by_size(spark, d):
     s = graph_components(spark, d).groupBy("project_id", "component").agg(count().alias("n"))
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("n"), "component")).cast("long"))
+    return ranked(s.withColumn("k", -C("n")), ["project_id"], ["k", "component"], "rank").drop("k")
 
 
 @query("g12_gap_retry", with_(NODES, EDGES, _DANGLING, "p AS (SELECT a.project_id, a.node_id AS a, b.node_id AS b, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS gap FROM dangling a JOIN dangling b ON a.project_id = b.project_id AND a.node_id < b.node_id AND abs(a.x - b.x) <= 4000 AND abs(a.y - b.y) <= 4000)", "t AS (SELECT project_id, CASE WHEN count(*) FILTER (gap <= 1000) > 0 THEN 1000 WHEN count(*) FILTER (gap <= 2000) > 0 THEN 2000 ELSE 4000 END AS threshold FROM p WHERE gap > 10 AND gap <= 4000 GROUP BY project_id)") + " SELECT p.project_id, threshold, a, b FROM p JOIN t ON t.project_id = p.project_id WHERE gap > 10 AND gap <= threshold")
@@ -86,7 +87,7 @@ def gap_retry(spark, d):
     thresholds in one pass."""
     n = point_box(dangling(spark, d).select("project_id", "node_id", "x", "y"), "x", "y")
     p = box_join(n, n, ["project_id"], 5000.0, 4000.0).where("node_id < r_node_id").withColumn("gap", scalar.dist(C("x"), C("y"), C("r_x"), C("r_y"))).where("gap > 10 AND gap <= 4000")
-    p = p.withColumn("least", F.min("gap").over(Window.partitionBy("project_id")))
+    p = p.join(p.groupBy("project_id").agg(F.min("gap").alias("least")), "project_id")
     t = F.when(C("least") <= 1000, 1000).when(C("least") <= 2000, 2000).otherwise(4000)
     return p.withColumn("threshold", t).where("gap <= threshold").select("project_id", "threshold", C("node_id").alias("a"), C("r_node_id").alias("b"))
 
@@ -133,13 +134,16 @@ def single_linkage(spark, d):
     return l.join(cc, ["project_id", "source_id"]).groupBy("project_id", "cluster").agg(count().alias("n"), q(scalar.exact_mean(C("x"), 3), 2).alias("mean_x"), q(F.min("y"), 3).alias("min_y"))
 
 
+def placed(n: DataFrame) -> DataFrame:
+    """project_id, pid, x, y: nodes numbered by place."""
+    return ranked(n.select("project_id", "x", "y", "node_id"), ["project_id"], ["x", "y", "node_id"], "pid").select("project_id", "pid", "x", "y")
+
+
 @query("g01_snapped_points")
 def snapped_points(spark, d):
     """Nodes snapped to the nearest earlier leader within 1500."""
     n = nodes(spark, d).dropna(subset=["x", "y"])
-    w = Window.partitionBy("project_id").orderBy("x", "y", "node_id")
-    p = n.select("project_id", F.row_number().over(w).cast("long").alias("pid"), "x", "y")
-    return topology.snap_to_leaders(p, 1500.0)
+    return topology.snap_to_leaders(placed(n), 1500.0)
 
 
 @query("g03_seed_centroids")
@@ -148,8 +152,7 @@ def seed_centroids(spark, d):
     from gridloom.session import Scratch
 
     n = nodes(spark, d).dropna(subset=["x", "y"])
-    w = Window.partitionBy("project_id").orderBy("x", "y", "node_id")
-    p = Scratch(spark, "seeds").save(n.select("project_id", F.row_number().over(w).cast("long").alias("pid"), "x", "y"))
+    p = Scratch(spark, "seeds").save(placed(n))
     lead = topology.snap_to_leaders(p, 1500.0)
     return lead.join(p, ["project_id", "pid"]).groupBy("project_id", C("leader").alias("seed")).agg(count().alias("n"), q(scalar.exact_mean(C("x"), 3), 3).alias("x"), q(scalar.exact_mean(C("y"), 3), 3).alias("y"))
 

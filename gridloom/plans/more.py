@@ -9,9 +9,10 @@ from gridloom.functions import arrays, scalar
 from gridloom.functions.scalar import q
 from gridloom.operators import matching, topology
 from gridloom.operators.graph import components
+from gridloom.operators.ranks import ranked
 from gridloom.operators.spatial import box_join, nearest, point_box, with_box
 from gridloom.plans.base import AUDIT, EDGES, NODES, OPENINGS, SIDES, SPACES, WALLS, audit, nodes, openings, space_sides, spaces, sq, sum_, walls, with_
-from gridloom.plans.graphs import _CC, _STRUCT, _REG, _faces, graph_components, recursive, regions
+from gridloom.plans.graphs import _CC, _STRUCT, _REG, _faces, graph_components, placed, recursive, regions
 from gridloom.plans.joins import _BRIDGE, _pt, bridge
 from gridloom.session import Scratch, table
 from gridloom.sources import drawings
@@ -144,11 +145,18 @@ def text_weights(spark, d):
     return audit(spark, d).where("text IS NOT NULL AND min_x IS NOT NULL").select("project_id", "source_id", q(near * size, 5).alias("weight"))
 
 
-@query("fn22_door_types", with_(OPENINGS) + " SELECT uuid, CASE WHEN width < 700 THEN 'single_small' WHEN width <= 1000 THEN 'single' WHEN width <= 1600 THEN 'double' ELSE 'gate' END AS kind FROM openings WHERE category = 'DOOR' AND width IS NOT NULL")
+_SWEPT = "sw AS (SELECT project_id, source_id, entity_type, len_mm, greatest(max_x - min_x, max_y - min_y) AS r FROM audit WHERE entity_type IN ('ARC', 'LINE', 'LWPOLYLINE'))"
+
+
+@query("fn22_door_types", with_(AUDIT, _SWEPT) + " SELECT project_id, source_id, CASE WHEN entity_type = 'ARC' AND r > 0 AND degrees(len_mm / r) BETWEEN 170 AND 190 THEN 'Double' ELSE 'Single' END AS kind FROM sw")
 def door_types(spark, d):
-    w = C("width")
-    kind = F.when(w < 700, "single_small").when(w <= 1000, "single").when(w <= 1600, "double").otherwise("gate")
-    return openings(spark, d).where("category = 'DOOR' AND width IS NOT NULL").select("uuid", kind.alias("kind"))
+    """Double for arcs that turn through 170 to 190 degrees, Single for all others. The tables have
+    no angles: an arc's sweep is its length over its radius, taken as its box's longer side."""
+    kind = C("entity_type")
+    r = F.greatest(C("max_x") - C("min_x"), C("max_y") - C("min_y"))
+    rows = audit(spark, d).where(kind.isin("ARC", "LINE", "LWPOLYLINE"))
+    double = (kind == "ARC") & (r > 0) & F.degrees(C("len_mm") / F.nullif(r, F.lit(0.0))).between(170, 190)
+    return rows.select("project_id", "source_id", F.when(double, "Double").otherwise("Single").alias("kind"))
 
 
 @query("fn28_fingerprints", with_(AUDIT) + " SELECT project_id, source_id, sha256(concat_ws('|', entity_type, coalesce(layer, ''), printf('%.4f', min_x), printf('%.4f', min_y), printf('%.4f', max_x), printf('%.4f', max_y))) AS fingerprint FROM audit WHERE min_x IS NOT NULL")
@@ -164,9 +172,8 @@ def fingerprints(spark, d):
 @query("j18_by_ordinal", with_(SPACES, OPENINGS, "s AS (SELECT project_id, uuid, row_number() OVER (PARTITION BY project_id ORDER BY uuid) AS i FROM spaces)", "o AS (SELECT project_id, uuid, row_number() OVER (PARTITION BY project_id ORDER BY uuid) AS i FROM openings)") + " SELECT o.uuid AS opening, s.uuid AS space FROM o JOIN s USING (project_id, i)")
 def by_ordinal(spark, d):
     """Elements matched by their place in the model."""
-    w = Window.partitionBy("project_id").orderBy("uuid")
-    s = spaces(spark, d).select("project_id", C("uuid").alias("space"), F.row_number().over(w).alias("i"))
-    o = openings(spark, d).select("project_id", C("uuid").alias("opening"), F.row_number().over(w).alias("i"))
+    s = ranked(spaces(spark, d).select("project_id", C("uuid").alias("space")), ["project_id"], ["space"], "i")
+    o = ranked(openings(spark, d).select("project_id", C("uuid").alias("opening")), ["project_id"], ["opening"], "i")
     return o.join(s, ["project_id", "i"]).select("opening", "space")
 
 
@@ -207,13 +214,13 @@ def complete_spaces(spark, d):
 def element_order(spark, d):
     mid = lambda df, kind: df.select("project_id", kind.alias("kind"), "uuid", q((C("x0") + C("x1")) / 2, 3).alias("cx"), q((C("y0") + C("y1")) / 2, 3).alias("cy"))
     e = mid(walls(spark, d), F.lit("Wall")).unionByName(mid(openings(spark, d), F.when(C("category") == "DOOR", "Door").otherwise("Window")))
-    return e.select("uuid", F.row_number().over(Window.partitionBy("project_id").orderBy("kind", "cx", "cy", "uuid")).cast("long").alias("ord"))
+    return ranked(e, ["project_id"], ["kind", "cx", "cy", "uuid"]).select("uuid", "ord")
 
 
 @query("o12_region_order", "WITH RECURSIVE " + ", ".join([AUDIT, _STRUCT, _REG]) + ", b AS (SELECT rg.project_id, component AS region, min(min_x) AS min_x, min(min_y) AS min_y FROM rg JOIN st ON st.project_id = rg.project_id AND st.n = rg.n GROUP BY ALL) SELECT project_id, region, row_number() OVER (PARTITION BY project_id ORDER BY min_x, min_y, region) AS ord FROM b")
 def region_order(spark, d):
-    w = Window.partitionBy("project_id").orderBy("min_x", "min_y", "region")
-    return regions(spark, d).select("project_id", "region", F.row_number().over(w).cast("long").alias("ord"))
+    r = Scratch(spark, "regions").save(regions(spark, d).select("project_id", "region", "min_x", "min_y"))
+    return ranked(r, ["project_id"], ["min_x", "min_y", "region"]).select("project_id", "region", "ord")
 
 
 # Composites
@@ -295,8 +302,7 @@ def synthetic(spark, d):
 def leader_counts(spark, d):
     """Points left when each one near an earlier leader joins it."""
     n = nodes(spark, d).dropna(subset=["x", "y"])
-    p = n.select("project_id", F.row_number().over(Window.partitionBy("project_id").orderBy("x", "y", "node_id")).cast("long").alias("pid"), "x", "y")
-    return topology.snap_to_leaders(p, 2000.0).groupBy("project_id").agg(F.count_distinct("leader").alias("n_leaders"), count().alias("n_points"))
+    return topology.snap_to_leaders(placed(n), 2000.0).groupBy("project_id").agg(F.count_distinct("leader").alias("n_leaders"), count().alias("n_points"))
 
 
 _TALL = "tall AS (SELECT project_id, uuid, x0 + 300 AS x, greatest(y0, y1) + 7 AS top FROM openings WHERE x0 = x1), flat AS (SELECT project_id, uuid, least(x0, x1) AS a, greatest(x0, x1) AS b, y0 AS y FROM walls WHERE y0 = y1)"
@@ -316,12 +322,14 @@ def axis_extend(spark, d):
 
 @query("c01_sheet_parts", with_(WALLS, "c AS (SELECT project_id, uuid, greatest(y0, y1) AS hi, least(y0, y1) AS lo FROM walls)", "g AS (SELECT *, max(hi) OVER (PARTITION BY project_id ORDER BY lo, hi, uuid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM c)", "p AS (SELECT *, sum(CASE WHEN lo > reach + 2000 THEN 1 ELSE 0 END) OVER (PARTITION BY project_id ORDER BY lo, hi, uuid ROWS UNBOUNDED PRECEDING) AS part FROM g)") + " SELECT project_id, part::INT AS part, count(*) AS n, min(lo) AS lo, max(hi) AS hi FROM p GROUP BY ALL")
 def sheet_parts(spark, d):
-    """A sheet cut into parts at empty bands of more than 2000."""
-    w = Window.partitionBy("project_id").orderBy("lo", "hi", "uuid")
-    c = walls(spark, d).select("project_id", "uuid", F.least("y0", "y1").alias("lo"), F.greatest("y0", "y1").alias("hi"))
+    """A sheet cut into parts at empty bands of more than 2000. Walls that begin within one band
+    of 2000 are never parted, so that bands are cut, of which a sheet has few."""
+    w = Window.partitionBy("project_id").orderBy("lo")
+    c = walls(spark, d).select("project_id", F.least("y0", "y1").alias("lo"), F.greatest("y0", "y1").alias("hi"))
+    c = c.groupBy("project_id", F.floor(C("lo") / 2000)).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), count().alias("k")).select("project_id", "lo", "hi", "k")
     g = c.withColumn("reach", F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     p = g.withColumn("part", F.sum(F.when(C("lo") > C("reach") + 2000, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    return p.groupBy("project_id", "part").agg(count().alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return p.groupBy("project_id", "part").agg(F.sum("k").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
 @query("c03_title_catalog", with_(AUDIT, f"k AS (SELECT project_id, {_TKEY} AS k FROM audit WHERE audit_role = 'title' AND text IS NOT NULL)", "c AS (SELECT project_id, CASE " + " ".join("WHEN " + " OR ".join(f"contains(k, '{w}')" for w in words) + f" THEN '{name}'" for name, words in TITLES) + " END AS kind FROM k)", "x AS (SELECT k.kind, p.project_id, count(c.kind) AS n FROM (VALUES " + ", ".join(f"('{n}')" for n, _ in TITLES) + ") k(kind) CROSS JOIN (SELECT DISTINCT project_id FROM c) p LEFT JOIN c ON c.project_id = p.project_id AND c.kind = k.kind GROUP BY ALL)") + " SELECT project_id, count(*) FILTER (n = 0) AS n_missing, count(*) FILTER (n > 1) AS n_double, CASE WHEN count(*) FILTER (n <> 1) = 0 THEN 'ok' ELSE 'title_catalog_mismatch' END AS state FROM x GROUP BY project_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import arrays, scalar
 from gridloom.functions.scalar import q
+from gridloom.operators.ranks import quantiles
 from gridloom.plans.base import AUDIT, OPENINGS, SIDES, SPACES, WALLS, audit, edges, openings, space_sides, spaces, sq, sq_angle, walls, with_, NODES, EDGES
 from gridloom.session import table
 
@@ -187,9 +188,9 @@ def categories(spark, d):
     return openings(spark, d).where(C("category").isin("DOOR", "WINDOW", "WALL")).select("uuid", "category")
 
 
-@query("flt08_door_widths", with_(OPENINGS) + " SELECT uuid FROM openings WHERE category = 'DOOR' AND width BETWEEN 50 AND 1000")
+@query("flt08_door_widths", with_(OPENINGS) + " SELECT uuid FROM openings WHERE category = 'DOOR' AND width BETWEEN 50 AND 1500")
 def door_widths(spark, d):
-    return openings(spark, d).where((C("category") == "DOOR") & C("width").between(50, 1000)).select("uuid")
+    return openings(spark, d).where((C("category") == "DOOR") & C("width").between(50, 1500)).select("uuid")
 
 
 @query("flt10_small_regions", with_(WALLS) + " SELECT project_id, count(*) AS n FROM walls GROUP BY project_id HAVING count(*) >= 20 AND max(greatest(x0, x1)) - min(least(x0, x1)) >= 10 AND max(greatest(y0, y1)) - min(least(y0, y1)) >= 10")
@@ -214,7 +215,7 @@ def edge_shape(spark, d):
 @query("flt13_median_split", with_(OPENINGS, "m AS (SELECT project_id, quantile_cont((x0 + x1) / 2, 0.5) AS mid FROM openings GROUP BY project_id)") + " SELECT uuid, CASE WHEN (x0 + x1) / 2 < mid THEN 'left' ELSE 'right' END AS side FROM openings JOIN m USING (project_id)")
 def median_split(spark, d):
     o = openings(spark, d).withColumn("cx", (C("x0") + C("x1")) / 2)
-    m = o.groupBy("project_id").agg(F.percentile("cx", 0.5).alias("mid"))
+    m = quantiles(o, ["project_id"], "cx", [("mid", 0.5)])
     return o.join(m, "project_id").select("uuid", F.when(C("cx") < C("mid"), "left").otherwise("right").alias("side"))
 
 
@@ -244,7 +245,7 @@ def segment_projection(spark, d):
     return j.select("uuid", "wall", q(C("t"), 6).alias("t"), q(foot, 4).alias("d"))
 
 
-@query("fn06_node_types", with_(NODES, EDGES, "h AS (SELECT project_id, from_id AS n, to_id AS o FROM edges WHERE from_id <> to_id UNION SELECT project_id, to_id, from_id FROM edges WHERE from_id <> to_id)", "g AS (SELECT h.project_id, h.n, count(*) AS deg, min(o) AS a, max(o) AS b FROM h GROUP BY ALL)", "v AS (SELECT nodes.project_id, nodes.node_id, coalesce(deg, 0) AS deg, p.x - nodes.x AS ax, p.y - nodes.y AS ay, r.x - nodes.x AS ux, r.y - nodes.y AS uy FROM nodes LEFT JOIN g ON g.project_id = nodes.project_id AND g.n = nodes.node_id LEFT JOIN nodes p ON p.project_id = g.project_id AND p.node_id = g.a LEFT JOIN nodes r ON r.project_id = g.project_id AND r.node_id = g.b)") + " SELECT project_id, node_id, deg AS degree, CASE deg WHEN 0 THEN 'isolated' WHEN 1 THEN 'end' WHEN 2 THEN CASE WHEN floor(degrees(acos(greatest(-1, least(1, (ax * ux + ay * uy) / (sqrt(ax * ax + ay * ay) * sqrt(ux * ux + uy * uy)))))) * 1e6 + CAST(0.5 AS DOUBLE)) / 1e6 > 165 THEN 'straight' ELSE 'L_corner' END WHEN 3 THEN 'T' ELSE 'X' END AS kind FROM v")
+@query("fn06_node_types", with_(NODES, EDGES, "h AS (SELECT project_id, from_id AS n, to_id AS o FROM edges WHERE from_id <> to_id UNION SELECT project_id, to_id, from_id FROM edges WHERE from_id <> to_id)", "g AS (SELECT h.project_id, h.n, count(*) AS deg, min(o) AS a, max(o) AS b FROM h GROUP BY ALL)", "v AS (SELECT nodes.project_id, nodes.node_id, coalesce(deg, 0) AS deg, p.x - nodes.x AS ax, p.y - nodes.y AS ay, r.x - nodes.x AS ux, r.y - nodes.y AS uy FROM nodes LEFT JOIN g ON g.project_id = nodes.project_id AND g.n = nodes.node_id LEFT JOIN nodes p ON p.project_id = g.project_id AND p.node_id = g.a LEFT JOIN nodes r ON r.project_id = g.project_id AND r.node_id = g.b)") + " SELECT project_id, node_id, deg AS degree, CASE deg WHEN 0 THEN 'end' WHEN 1 THEN 'end' WHEN 2 THEN CASE WHEN floor(degrees(acos(greatest(-1, least(1, (ax * ux + ay * uy) / (sqrt(ax * ax + ay * ay) * sqrt(ux * ux + uy * uy)))))) * 1e6 + CAST(0.5 AS DOUBLE)) / 1e6 > 165 THEN 'straight' ELSE 'L_corner' END WHEN 3 THEN 'T' ELSE 'X' END AS kind FROM v")
 def node_types(spark, d):
     """Degree over distinct neighbours, and kind, of every node."""
     from gridloom.operators.graph import neighbours
@@ -287,10 +288,10 @@ def match_keys(spark, d):
     return table(spark, d, "audit_entities").where("text IS NOT NULL").select("row_id", scalar.match_key(C("text")).alias("key"))
 
 
-@query("fn19_scales", "SELECT row_id, regexp_extract(text, '1\\s*[:/-]\\s*([0-9]+)', 1)::INT AS scale, CASE WHEN regexp_extract(text, '1\\s*[:/-]\\s*([0-9]+)', 1)::INT >= 200 THEN 'site_plan' ELSE 'detail' END AS kind FROM audit_entities WHERE regexp_matches(text, '1\\s*[:/-]\\s*([0-9]{1,8})') AND len(regexp_extract(text, '1\\s*[:/-]\\s*([0-9]+)', 1)) <= 8")
+@query("fn19_scales", "SELECT row_id, regexp_extract(text, '1\\s*[:/-]\\s*([0-9]+)', 1)::DECIMAL(38,0) AS scale, CASE WHEN regexp_extract(text, '1\\s*[:/-]\\s*([0-9]+)', 1)::DECIMAL(38,0) >= 200 THEN 'site_plan' ELSE 'detail' END AS kind FROM audit_entities WHERE regexp_matches(text, '1\\s*[:/-]\\s*([0-9]+)')")
 def scales(spark, d):
     n = F.regexp_extract("text", r"1\s*[:/-]\s*([0-9]+)", 1)
-    rows = table(spark, d, "audit_entities").where(F.rlike("text", F.lit(r"1\s*[:/-]\s*([0-9]{1,8})")) & (F.length(n) <= 8)).select("row_id", n.cast("int").alias("scale"))
+    rows = table(spark, d, "audit_entities").where(F.rlike("text", F.lit(r"1\s*[:/-]\s*([0-9]+)"))).select("row_id", n.cast("decimal(38,0)").alias("scale"))
     return rows.withColumn("kind", F.when(C("scale") >= 200, "site_plan").otherwise("detail"))
 
 
@@ -307,8 +308,13 @@ def short_ids(spark, d):
     return g.select("project_id", F.concat(F.lit("region-"), F.substring(F.sha2(F.concat_ws("|", "project_id", C("n").cast("string")), 256), 1, 16)).alias("region_id"))
 
 
-@query("fn31_tolerances", with_(WALLS, "e AS (SELECT project_id, greatest(max(greatest(x0, x1)) - min(least(x0, x1)), max(greatest(y0, y1)) - min(least(y0, y1))) AS extent FROM walls GROUP BY project_id)") + f" SELECT project_id, {sq('greatest(1.0, least(15.0, extent * 0.0005::DOUBLE))', 4)} AS tolerance FROM e")
+@query("fn31_tolerances", with_(WALLS, "e AS (SELECT project_id, greatest(max(greatest(x0, x1)) - min(least(x0, x1)), max(greatest(y0, y1)) - min(least(y0, y1))) AS extent FROM walls GROUP BY project_id)", "f AS (SELECT project_id, greatest(0.1::DOUBLE, least(10::DOUBLE, extent / 50000)) AS f FROM e)") + f" SELECT project_id, {sq('10 * f', 3)} AS merge_mm, {sq('5 * f', 3)} AS snap_mm, {sq('20 * f', 3)} AS t_snap_mm, {sq('400 * f', 3)} AS gap_mm, unit, CASE WHEN mm >= 1000 THEN 4 WHEN mm <= 1 THEN 2 ELSE 3 END AS decimals FROM f, (VALUES (1, 25.4), (2, 304.8), (4, 1.0), (5, 10.0), (6, 1000.0)) t(unit, mm)")
 def tolerances(spark, d):
-    """A snap tolerance that follows the drawing's extent."""
+    """Tolerances that follow the drawing's extent (0.1 to 10 times those of one of 50 m), and the
+    decimals kept in each of the known units."""
     e = walls(spark, d).groupBy("project_id").agg(F.greatest(F.max(F.greatest("x0", "x1")) - F.min(F.least("x0", "x1")), F.max(F.greatest("y0", "y1")) - F.min(F.least("y0", "y1"))).alias("extent"))
-    return e.select("project_id", q(F.greatest(F.lit(1.0), F.least(F.lit(15.0), C("extent") * 0.0005)), 4).alias("tolerance"))
+    f = F.greatest(F.lit(0.1), F.least(F.lit(10.0), C("extent") / 50_000.0))
+    by = {"merge_mm": 10, "snap_mm": 5, "t_snap_mm": 20, "gap_mm": 400}
+    units = F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.lit(mm).alias("mm")) for u, mm in scalar.UNIT_MM.items()])).alias("u")
+    rows = e.withColumn("f", f).select("project_id", *[q(C("f") * float(k), 3).alias(n) for n, k in by.items()], units)
+    return rows.select("project_id", *by, "u.unit", F.when(C("u.mm") >= 1000, 4).when(C("u.mm") <= 1, 2).otherwise(3).alias("decimals"))
