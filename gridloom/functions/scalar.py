@@ -171,6 +171,7 @@ def drawing_kind(layer: Column) -> Column:
 
 
 def match_key(text: Column) -> Column:
-    """Upper-case letters and digits without accents, in words."""
-    plain = F.translate(F.translate(text, "ıİşŞğĞçÇöÖüÜâÂîÎûÛáÁéÉíÍóÓúÚ", "iIsSgGcCoOuUaAiIuUaAeEiIoOuU"), "ãÃõÕ", "aAoO")
-    return F.trim(F.regexp_replace(F.upper(plain), "[^A-Z0-9?]+", " "))
+    """Upper-case letters and digits without accents, in words; compatibility forms as plain ones."""
+    from gridloom.functions.text import plain_upper
+
+    return F.trim(F.regexp_replace(plain_upper(text), "[^A-Z0-9?]+", " "))

@@ -19,3 +19,15 @@ def exact_text(c: Column) -> Column:
     nfc = F.pandas_udf(_nfc, StringType())
     composed = F.when(F.rlike(c, F.lit(r"[^\x00-\x7F]")), nfc(c)).otherwise(c)
     return F.trim(F.regexp_replace(composed, r"[ \t\n\r]+", " "))
+
+
+@F.pandas_udf("string")
+def plain_upper(texts: pd.Series) -> pd.Series:
+    """Compatibility forms apart, marks off, dotless and dotted i as one, upper case; once per distinct value."""
+    codes, distinct = pd.factorize(texts)
+    made = []
+    for t in distinct:
+        apart = unicodedata.normalize("NFKD", t.replace("ı", "i").replace("İ", "I"))
+        made.append("".join(c for c in apart if not unicodedata.combining(c)).upper())
+    made.append(None)
+    return pd.Series([made[i] for i in codes], index=texts.index, dtype=object)

@@ -9,7 +9,7 @@ from gridloom.functions import arrays, scalar
 from gridloom.functions.scalar import q
 from gridloom.operators.graph import neighbours
 from gridloom.operators.ranks import quantiles, ranked
-from gridloom.plans.base import AUDIT, EDGES, NODES, OPENINGS, SIDES, SPACES, WALLS, audit, edges, nodes, mean_, openings, spaces, spread_, sq, sum_, walls, with_
+from gridloom.plans.base import AUDIT, EDGES, MATCH_KEY, NODES, OPENINGS, SIDES, SPACES, WALLS, audit, edges, nodes, mean_, openings, spaces, spread_, sq, sum_, walls, with_
 from gridloom.session import Scratch, table
 
 QUERIES: dict = {}
@@ -164,7 +164,7 @@ TERMS = (
     ("roof_plan", "CATI", 1.0), ("roof_plan", "C?ATI", 1.0), ("roof_plan", "ROOF", 1.0),
     ("site_plan", "VAZIYET", 1.0), ("site_plan", "SITE PLAN", 1.0), ("site_plan", "PARSEL", 1.0),
 )
-_KEY = "trim(regexp_replace(upper(translate(translate(replace(text, 'ß', 'ss'), 'ıİşŞğĞçÇöÖüÜâÂîÎûÛáÁéÉíÍóÓúÚ', 'iIsSgGcCoOuUaAiIuUaAeEiIoOuU'), 'ãÃõÕ', 'aAoO')), '[^A-Z0-9?]+', ' ', 'g'))"
+_KEY = MATCH_KEY
 _TERM_ROWS = "terms(kind, term) AS (VALUES " + ", ".join(f"('{k}', '{t}')" for k, t, _ in TERMS) + ")"
 _SCORES = f"tx AS (SELECT DISTINCT project_id, {_KEY} AS k FROM audit WHERE text IS NOT NULL), sc AS (SELECT project_id, kind, count(DISTINCT term) AS score FROM tx JOIN terms ON contains(k, term) GROUP BY ALL)"
 

@@ -76,6 +76,15 @@ def sq(expr: str, n: int) -> str:
     return f"(floor(({expr}) * 1e{n} + CAST(0.5 AS DOUBLE)) / 1e{n})"
 
 
+_WIDE = "".join(chr(c) for c in range(0xFF10, 0xFF5B))
+_PLAIN = "".join(chr(c - 0xFEE0) for c in range(0xFF10, 0xFF5B)).replace("'", "''")
+#: match_key() of the column text in SQL. DuckDB takes accents off; compatibility forms are written out.
+MATCH_KEY = f"translate(replace(text, 'ß', 'ss'), 'ıİ²³¹ºª{_WIDE}', 'iI231oa{_PLAIN}')"
+for _old, _new in (("½", "1/2"), ("¼", "1/4"), ("¾", "3/4"), ("™", "TM"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("№", "No"), ("ĳ", "ij")):
+    MATCH_KEY = f"replace({MATCH_KEY}, '{_old}', '{_new}')"
+MATCH_KEY = f"trim(regexp_replace(upper(strip_accents({MATCH_KEY})), '[^A-Z0-9?]+', ' ', 'g'))"
+
+
 def sum_(expr: str, n: int) -> str:
     """exact_sum() in SQL."""
     return f"(sum(floor(({expr}) * 1e{n} + CAST(0.5 AS DOUBLE))::DECIMAL(20,0))::DOUBLE / 1e{n})"

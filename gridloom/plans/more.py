@@ -11,7 +11,7 @@ from gridloom.operators import matching, topology
 from gridloom.operators.graph import components
 from gridloom.operators.ranks import ranked
 from gridloom.operators.spatial import box_join, nearest, point_box, with_box
-from gridloom.plans.base import AUDIT, EDGES, NODES, OPENINGS, SIDES, SPACES, WALLS, audit, nodes, openings, space_sides, spaces, sq, sum_, walls, with_
+from gridloom.plans.base import AUDIT, EDGES, MATCH_KEY, NODES, OPENINGS, SIDES, SPACES, WALLS, audit, nodes, openings, space_sides, spaces, sq, sum_, walls, with_
 from gridloom.plans.graphs import _CC, _STRUCT, _REG, _faces, graph_components, placed, recursive, regions
 from gridloom.plans.joins import _BRIDGE, _pt, bridge
 from gridloom.session import Scratch, table
@@ -128,7 +128,7 @@ def uuids(spark, d):
 
 # Kinds of titles, by words in their match key, first match first.
 TITLES = (("site", ("VAZIYET", "SITE LAYOUT", "LAGEPLAN", "IMPLANTACAO")), ("section", ("KESIT", "SECTION", "SCHNITT", "CORTE", "REZ ")), ("elevation", ("CEPHE", "GORUNUS", "ELEVATION", "ANSICHT", "ALCADO", "POHLED")), ("roof", ("CATI", "ROOF", "COBERTURA")), ("floor", ("KAT PLANI", "FLOOR PLAN", "LEVEL", "GRUNDRISS", "PLANTA", "PUDORYS", "GRUNNMYND")))
-_TKEY = "trim(regexp_replace(upper(translate(translate(replace(text, 'ß', 'ss'), 'ıİşŞğĞçÇöÖüÜâÂîÎûÛáÁéÉíÍóÓúÚ', 'iIsSgGcCoOuUaAiIuUaAeEiIoOuU'), 'ãÃõÕ', 'aAoO')), '[^A-Z0-9?]+', ' ', 'g'))"
+_TKEY = MATCH_KEY
 
 
 @query("fn18_title_kinds", with_(AUDIT, f"k AS (SELECT project_id, source_id, {_TKEY} AS k FROM audit WHERE audit_role = 'title' AND text IS NOT NULL)") + " SELECT project_id, source_id, CASE " + " ".join("WHEN " + " OR ".join(f"contains(k, '{w}')" for w in words) + f" THEN '{name}'" for name, words in TITLES) + " END AS kind FROM k")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import arrays, scalar
 from gridloom.functions.scalar import q
 from gridloom.operators.ranks import quantiles
-from gridloom.plans.base import AUDIT, OPENINGS, SIDES, SPACES, WALLS, audit, edges, openings, space_sides, spaces, sq, sq_angle, walls, with_, NODES, EDGES
+from gridloom.plans.base import AUDIT, MATCH_KEY, OPENINGS, SIDES, SPACES, WALLS, audit, edges, openings, space_sides, spaces, sq, sq_angle, walls, with_, NODES, EDGES
 from gridloom.session import table
 
 QUERIES: dict = {}
@@ -283,7 +283,7 @@ def drawing_kinds(spark, d):
     return table(spark, d, "cad_entities").where("layer IS NOT NULL").groupBy(scalar.drawing_kind(C("layer")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("fn17_match_keys", "SELECT row_id, trim(regexp_replace(upper(translate(translate(replace(text, 'ß', 'ss'), 'ıİşŞğĞçÇöÖüÜâÂîÎûÛáÁéÉíÍóÓúÚ', 'iIsSgGcCoOuUaAiIuUaAeEiIoOuU'), 'ãÃõÕ', 'aAoO')), '[^A-Z0-9?]+', ' ', 'g')) AS key FROM audit_entities WHERE text IS NOT NULL")
+@query("fn17_match_keys", f"SELECT row_id, {MATCH_KEY} AS key FROM audit_entities WHERE text IS NOT NULL")
 def match_keys(spark, d):
     return table(spark, d, "audit_entities").where("text IS NOT NULL").select("row_id", scalar.match_key(C("text")).alias("key"))
 
