@@ -110,3 +110,16 @@ def sq_angle(x0: str, y0: str, x1: str, y1: str) -> str:
 
 def with_(*parts: str) -> str:
     return "WITH " + ", ".join(parts)
+
+
+def leaders_sql(name: str, rows: str, near: str) -> str:
+    """The sequential rule in recursive SQL: rows (project_id, pid from 1, x, y, ...) in order, each
+    a leader unless an earlier one is near (`near` is over l and r). Gives {name}(project_id, pid, leader)
+    with the nearest earlier leader, by distance, then place, then number."""
+    return f"""{name}_r AS ({rows}),
+ {name}_s AS (SELECT DISTINCT project_id, 0::BIGINT AS pid, []::BIGINT[] AS led FROM {name}_r
+  UNION ALL SELECT s.project_id, r.pid, CASE WHEN EXISTS (SELECT 1 FROM {name}_r l WHERE l.project_id = r.project_id AND list_contains(s.led, l.pid) AND {near}) THEN s.led ELSE list_append(s.led, r.pid) END
+  FROM {name}_s s JOIN {name}_r r ON r.project_id = s.project_id AND r.pid = s.pid + 1),
+ {name}_l AS (SELECT project_id, unnest(arg_max(led, pid)) AS pid FROM {name}_s GROUP BY project_id),
+ {name}_m AS (SELECT r.project_id, r.pid, arg_min(l.pid, (sqrt((l.x - r.x) * (l.x - r.x) + (l.y - r.y) * (l.y - r.y)), l.x, l.y, l.pid)) AS m, min(l.pid) AS earliest FROM {name}_r r JOIN {name}_l k ON k.project_id = r.project_id AND k.pid < r.pid JOIN {name}_r l ON l.project_id = k.project_id AND l.pid = k.pid WHERE {near} GROUP BY ALL),
+ {name} AS (SELECT r.project_id, r.pid, CASE WHEN k.pid IS NOT NULL THEN r.pid ELSE m.m END AS leader, CASE WHEN k.pid IS NOT NULL THEN r.pid ELSE m.earliest END AS first_leader FROM {name}_r r LEFT JOIN {name}_l k ON k.project_id = r.project_id AND k.pid = r.pid LEFT JOIN {name}_m m ON m.project_id = r.project_id AND m.pid = r.pid)"""

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from gridloom.functions import scalar
 from gridloom.functions.scalar import q
 from gridloom.operators import topology
-from gridloom.operators.graph import components, prune
+from gridloom.operators.graph import components, first_leaders, prune
 from gridloom.operators.orphans import reference_key
 from gridloom.operators.ranks import ranked
 from gridloom.operators.spatial import box_join, point_box
 from gridloom.plans.aggregates import _DEG, degrees
-from gridloom.plans.base import AUDIT, EDGES, NODES, OPENINGS, SIDES, SPACES, WALLS, audit, edges, nodes, openings, spaces, mean_, sq, sum_, walls, with_
+from gridloom.plans.base import AUDIT, EDGES, NODES, OPENINGS, SIDES, SPACES, WALLS, audit, edges, leaders_sql, nodes, openings, spaces, mean_, sq, sq_angle, sum_, walls, with_
 from gridloom.plans.joins import _BRIDGE, _DANGLING, bridge, dangling
 from gridloom.session import table
 
@@ -139,14 +139,19 @@ def placed(n: DataFrame) -> DataFrame:
     return ranked(n.select("project_id", "x", "y", "node_id"), ["project_id"], ["x", "y", "node_id"], "pid").select("project_id", "pid", "x", "y")
 
 
-@query("g01_snapped_points")
+def _led(tolerance: float) -> str:
+    rows = "SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY x, y, node_id) AS pid, x, y FROM nodes WHERE x IS NOT NULL AND y IS NOT NULL"
+    return f"WITH RECURSIVE {NODES}, " + leaders_sql("ld", rows, f"sqrt((l.x - r.x) * (l.x - r.x) + (l.y - r.y) * (l.y - r.y)) < {tolerance}")
+
+
+@query("g01_snapped_points", _led(1500) + " SELECT project_id, pid, leader FROM ld")
 def snapped_points(spark, d):
     """Nodes snapped to the nearest earlier leader within 1500."""
     n = nodes(spark, d).dropna(subset=["x", "y"])
     return topology.snap_to_leaders(placed(n), 1500.0)
 
 
-@query("g03_seed_centroids")
+@query("g03_seed_centroids", _led(1500) + f" SELECT ld.project_id, leader AS seed, count(*) AS n, {sq(mean_('x', 3), 3)} AS x, {sq(mean_('y', 3), 3)} AS y FROM ld JOIN ld_r r ON r.project_id = ld.project_id AND r.pid = ld.pid GROUP BY ALL")
 def seed_centroids(spark, d):
     """Seeds as leaders; members go to the first seed near them; mean points."""
     from gridloom.session import Scratch
@@ -157,11 +162,18 @@ def seed_centroids(spark, d):
     return lead.join(p, ["project_id", "pid"]).groupBy("project_id", C("leader").alias("seed")).agg(count().alias("n"), q(scalar.exact_mean(C("x"), 3), 3).alias("x"), q(scalar.exact_mean(C("y"), 3), 3).alias("y"))
 
 
-@query("g04_merged_walls", with_(WALLS, "h AS (SELECT project_id, wall_type, uuid, x0, y0, x1, y1 FROM walls)") + " SELECT count(*) > 0 AS merged, sum(len)::BIGINT AS total FROM (SELECT round(sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)))::BIGINT AS len FROM h)")
+_GAP = "least(" + ", ".join(f"sqrt((a.x{i} - b.x{j}) * (a.x{i} - b.x{j}) + (a.y{i} - b.y{j}) * (a.y{i} - b.y{j}))" for i in (0, 1) for j in (0, 1)) + ")"
+_TURN = f"abs({sq_angle('a.x0', 'a.y0', 'a.x1', 'a.y1')} - {sq_angle('b.x0', 'b.y0', 'b.x1', 'b.y1')})"
+_CHAIN = recursive("ch", "SELECT DISTINCT project_id, uuid AS n FROM walls", f"SELECT a.project_id, a.uuid AS a, b.uuid AS b FROM walls a JOIN walls b ON a.project_id = b.project_id AND a.wall_type IS NOT DISTINCT FROM b.wall_type AND a.uuid < b.uuid AND {_GAP} < 5 AND least({_TURN}, 180 - {_TURN}) < 2.5")
+
+
+@query("g04_merged_walls", "WITH RECURSIVE " + ", ".join([WALLS, _CHAIN]) + """, e AS (SELECT ch.project_id, component AS chain, ch.n, x, y, x * dx + y * dy AS s FROM ch
+ JOIN (SELECT project_id, uuid, x0 AS x, y0 AS y FROM walls UNION ALL SELECT project_id, uuid, x1, y1 FROM walls) w ON w.project_id = ch.project_id AND w.uuid = ch.n
+ JOIN (SELECT project_id, uuid, x1 - x0 AS dx, y1 - y0 AS dy FROM walls) f ON f.project_id = ch.project_id AND f.uuid = component)
+ SELECT project_id, chain, count(DISTINCT n)::INT AS n, arg_min(x, (s, x, y)) AS x0, arg_min(y, (s, x, y)) AS y0, arg_max(x, (s, x, y)) AS x1, arg_max(y, (s, x, y)) AS y1 FROM e GROUP BY ALL""")
 def merged_walls(spark, d):
-    """Collinear walls of one type merged; the summed length stays, as walls of these drawings only touch."""
-    m = topology.merge_collinear(walls(spark, d), 5.0, ("wall_type",))
-    return m.agg((count() > 0).alias("merged"), F.sum(F.floor(scalar.dist(*map(C, SEG)) + 0.5)).alias("total"))
+    """Collinear touching walls of one type as one wall each."""
+    return topology.merge_collinear(walls(spark, d), 5.0, ("wall_type",))
 
 
 @query("g05_interval_union", with_(WALLS, "h AS (SELECT project_id, y0 AS y, least(x0, x1) AS a, greatest(x0, x1) AS b FROM walls WHERE y0 = y1)", "m AS (SELECT *, max(b) OVER (PARTITION BY project_id, y ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM h)", "g AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (PARTITION BY project_id, y ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM m)") + " SELECT project_id, y, min(a) AS a, max(b) AS b, count(*) AS n FROM g GROUP BY project_id, y, k")
@@ -269,12 +281,32 @@ def c02(spark, d):
     return regions(spark, d)
 
 
-@query("c04_frame_groups", with_(AUDIT, "f AS (SELECT project_id, source_id, floor((min_x + max_x) / 2) AS cx, floor((min_y + max_y) / 2) AS cy, (max_x - min_x) * (max_y - min_y) AS area FROM audit WHERE is_closed AND max_x - min_x >= 500 AND max_y - min_y >= 500)") + " SELECT project_id, cx, cy, count(*) AS n, arg_max(source_id, (area, source_id)) AS outer_id FROM f GROUP BY ALL")
+_RECT = """SELECT project_id, source_id, row_number() OVER (PARTITION BY project_id ORDER BY min_x, min_y, max_x, max_y, source_id) AS pid, (min_x + max_x) / 2 AS x, (min_y + max_y) / 2 AS y, max_x - min_x AS w, max_y - min_y AS h
+ FROM audit WHERE audit_role = 'structural' AND is_closed AND entity_type IN ('LWPOLYLINE', 'POLYLINE') AND max_x - min_x >= 500 AND max_y - min_y >= 500"""
+
+
+@query("c04_frame_groups", f"WITH RECURSIVE {AUDIT}, " + leaders_sql("fr", _RECT, "abs(l.x - r.x) <= 1 AND abs(l.y - r.y) <= 1 AND abs(l.w - r.w) <= 50 AND abs(l.h - r.h) <= 50") + """, g AS (SELECT f.project_id, first_leader AS first, count(*) AS n, arg_min(source_id, (-(w * h), r.pid)) AS outer_id FROM fr f JOIN fr_r r ON r.project_id = f.project_id AND r.pid = f.pid GROUP BY ALL)
+ SELECT g.project_id, r.source_id AS first_id, n, outer_id, n >= 3 AS is_frame FROM g JOIN fr_r r ON r.project_id = g.project_id AND r.pid = g.first""")
 def frame_groups(spark, d):
-    """Closed outlines about one centre, with the largest as the frame."""
+    """Closed outlines of at least 500 in groups about one centre (to 1) and of one size (to 50), as
+    against the first of each group in the order of their boxes; three make a frame, whose outline is
+    the largest."""
+    from gridloom.session import Scratch
+
     w, h = C("max_x") - C("min_x"), C("max_y") - C("min_y")
-    f = audit(spark, d).where(C("is_closed") & (w >= 500) & (h >= 500)).select("project_id", "source_id", F.floor((C("min_x") + C("max_x")) / 2).cast("double").alias("cx"), F.floor((C("min_y") + C("max_y")) / 2).cast("double").alias("cy"), (w * h).alias("area"))
-    return f.groupBy("project_id", "cx", "cy").agg(count().alias("n"), F.max_by("source_id", F.struct("area", "source_id")).alias("outer_id"))
+    box = ["min_x", "min_y", "max_x", "max_y"]
+    f = audit(spark, d).where((C("audit_role") == "structural") & C("is_closed") & C("entity_type").isin("LWPOLYLINE", "POLYLINE") & (w >= 500) & (h >= 500))
+    f = ranked(f.select("project_id", "source_id", *box), ["project_id"], [*box, "source_id"], "pid")
+    f = Scratch(spark, "frames").save(f.select("project_id", "source_id", "pid", ((C("min_x") + C("max_x")) / 2).alias("x"), ((C("min_y") + C("max_y")) / 2).alias("y"), w.alias("w"), h.alias("h")))
+    at = point_box(f, "x", "y")
+    near = box_join(at, at, ["project_id"], 1000.0, 1.0).where((C("r_pid") < C("pid")) & (F.abs(C("w") - C("r_w")) <= 50) & (F.abs(C("h") - C("r_h")) <= 50))
+    near = near.select("project_id", C("r_pid").alias("a"), C("pid").alias("b"))
+    lead = first_leaders(f, near, ["project_id", "pid"])
+    first = near.join(lead.where("is_leader").select("project_id", C("pid").alias("a")), ["project_id", "a"], "left_semi").groupBy("project_id", C("b").alias("pid")).agg(F.min("a").alias("first"))
+    of = lead.join(first, ["project_id", "pid"], "left").select("project_id", "pid", F.when(C("is_leader"), C("pid")).otherwise(C("first")).alias("first"))
+    g = f.join(of, ["project_id", "pid"]).groupBy("project_id", "first").agg(count().alias("n"), F.min_by("source_id", F.struct(-(C("w") * C("h")), "pid")).alias("outer_id"))
+    named = f.select("project_id", C("pid").alias("first"), C("source_id").alias("first_id"))
+    return g.join(named, ["project_id", "first"]).select("project_id", "first_id", "n", "outer_id", (C("n") >= 3).alias("is_frame"))
 
 
 @query("c08_opening_intervals", with_(WALLS, OPENINGS, "p AS (SELECT o.uuid, w.uuid AS wall, sqrt((w.x1 - w.x0) * (w.x1 - w.x0) + (w.y1 - w.y0) * (w.y1 - w.y0)) AS len, ((o.x0 - w.x0) * (w.x1 - w.x0) + (o.y0 - w.y0) * (w.y1 - w.y0)) / ((w.x1 - w.x0) * (w.x1 - w.x0) + (w.y1 - w.y0) * (w.y1 - w.y0)) AS t0, ((o.x1 - w.x0) * (w.x1 - w.x0) + (o.y1 - w.y0) * (w.y1 - w.y0)) / ((w.x1 - w.x0) * (w.x1 - w.x0) + (w.y1 - w.y0) * (w.y1 - w.y0)) AS t1 FROM openings o JOIN walls w ON w.project_id = o.project_id AND w.uuid = lower(trim(o.parent_wall)))", "c AS (SELECT uuid, wall, greatest(0, least(1, least(t0, t1))) * len AS a, greatest(0, least(1, greatest(t0, t1))) * len AS b FROM p)") + f" SELECT uuid, wall, {sq('a', 3)} AS from_mm, {sq('b', 3)} AS to_mm FROM c WHERE b - a > 0.1")

@@ -12,7 +12,7 @@ from gridloom.operators.graph import components
 from gridloom.operators.ranks import ranked
 from gridloom.operators.spatial import box_join, nearest, point_box, with_box
 from gridloom.plans.base import AUDIT, EDGES, MATCH_KEY, NODES, OPENINGS, SIDES, SPACES, WALLS, audit, nodes, openings, space_sides, spaces, sq, sum_, walls, with_
-from gridloom.plans.graphs import _CC, _STRUCT, _REG, _faces, graph_components, placed, recursive, regions
+from gridloom.plans.graphs import _CC, _STRUCT, _REG, _faces, _led, graph_components, placed, recursive, regions
 from gridloom.plans.joins import _BRIDGE, _pt, bridge
 from gridloom.session import Scratch, table
 from gridloom.sources import drawings
@@ -223,6 +223,60 @@ def region_order(spark, d):
     return ranked(r, ["project_id"], ["min_x", "min_y", "region"]).select("project_id", "region", "ord")
 
 
+@query("o02_wall_entity_order", "SELECT row_id, row_number() OVER (PARTITION BY project_id ORDER BY layer, coalesce(block_name, ''), entity_type, coalesce(start_pt, ''), coalesce(end_pt, ''), row_id) AS ord FROM cad_entities WHERE (" + " OR ".join(f"contains(lower(layer), '{w}')" for w in scalar.WALL_WORDS) + ") AND NOT (" + " OR ".join(f"contains(lower(layer), '{w}')" for w in scalar.NO_WALL_WORDS) + ")")
+def wall_entity_order(spark, d):
+    """Entities on wall layers in their canonical order."""
+    e = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    rows = table(spark, d, "cad_entities").where(scalar.is_wall_layer(C("layer"))).select("project_id", "row_id", "layer", e("block_name"), "entity_type", e("start_pt"), e("end_pt"))
+    return ranked(rows, ["project_id"], ["layer", "block_name", "entity_type", "start_pt", "end_pt", "row_id"]).select("row_id", "ord")
+
+
+_SER = "'{\"angle\": ' || coalesce(printf('%.4f', angle), 'null') || ', \"from\": \"' || least(from_id::VARCHAR, to_id::VARCHAR) || '\", \"id\": ' || edge_id || ', \"length\": ' || coalesce(printf('%.4f', len_mm), 'null') || ', \"to\": \"' || greatest(from_id::VARCHAR, to_id::VARCHAR) || '\"}'"
+
+
+@query("x08_least_serialised", f"SELECT project_id, least(from_id::VARCHAR, to_id::VARCHAR) AS a, greatest(from_id::VARCHAR, to_id::VARCHAR) AS b, arg_min(edge_id, {_SER}) AS edge_id, count(*) AS n FROM geometry_edges WHERE from_id IS NOT NULL AND to_id IS NOT NULL AND from_id <> to_id AND edge_id IS NOT NULL GROUP BY ALL")
+def least_serialised(spark, d):
+    """Of the edges between two nodes, in either direction, the one whose text with sorted keys comes first."""
+    e = table(spark, d, "geometry_edges").where("from_id IS NOT NULL AND to_id IS NOT NULL AND from_id <> to_id AND edge_id IS NOT NULL")
+    f, t = C("from_id").cast("string"), C("to_id").cast("string")
+    num = lambda c: F.when(C(c).isNull(), "null").otherwise(F.format_string("%.4f", C(c)))
+    text = F.concat(F.lit('{"angle": '), num("angle"), F.lit(', "from": "'), C("a"), F.lit('", "id": '), C("edge_id").cast("string"), F.lit(', "length": '), num("len_mm"), F.lit(', "to": "'), C("b"), F.lit('"}'))
+    return e.withColumns({"a": F.least(f, t), "b": F.greatest(f, t)}).groupBy("project_id", "a", "b").agg(F.min_by("edge_id", text).alias("edge_id"), count().alias("n"))
+
+
+_ENDS = "en AS (SELECT project_id, x, y, count(*) AS k FROM (SELECT project_id, x0 AS x, y0 AS y FROM walls UNION ALL SELECT project_id, x1, y1 FROM walls) GROUP BY ALL)"
+_WKEY = "CASE WHEN (x0, y0) <= (x1, y1) THEN (x0, y0, x1, y1) ELSE (x1, y1, x0, y0) END"
+
+
+@query("fn24_wall_kinds", with_(WALLS, SPACES, SIDES, _ENDS, f"fc AS (SELECT project_id, {_WKEY} AS k, count(DISTINCT uuid) AS n FROM sides GROUP BY ALL)", f"wl AS (SELECT *, {_WKEY} AS k FROM walls)") + """ SELECT w.project_id, w.uuid, CASE WHEN coalesce(fc.n, 0) = 1 THEN 'External Wall' WHEN fc.n >= 2 THEN 'Internal Wall' ELSE 'Wall segment' END AS sub_type,
+ CASE WHEN a.k >= 2 AND b.k >= 2 THEN 'Continuous' ELSE 'Dangling' END AS continuity, CASE WHEN coalesce(fc.n, 0) = 1 THEN 0.9 WHEN fc.n >= 2 THEN 0.95 ELSE 0.7 END::DOUBLE AS confidence
+ FROM wl w LEFT JOIN fc ON fc.project_id = w.project_id AND fc.k = w.k JOIN en a ON a.project_id = w.project_id AND a.x = w.x0 AND a.y = w.y0 JOIN en b ON b.project_id = w.project_id AND b.x = w.x1 AND b.y = w.y1""")
+def wall_kinds(spark, d):
+    """A wall's sub-type and confidence by how many spaces it bounds, its continuity by the walls at its ends."""
+    w = walls(spark, d).select("project_id", "uuid", *SEG)
+    p, r = F.struct(C("x0").alias("x"), C("y0").alias("y")), F.struct(C("x1").alias("x"), C("y1").alias("y"))
+    key = [F.least(p, r).alias("a"), F.greatest(p, r).alias("b")]
+    n = space_sides(spark, d).select("project_id", "uuid", *key).groupBy("project_id", "a", "b").agg(F.count_distinct("uuid").alias("n"))
+    ends = w.select("project_id", F.explode(F.array(p, r)).alias("p")).groupBy("project_id", "p").agg(count().alias("k"))
+    at = lambda c: ends.select("project_id", C("p").alias(c), C("k").alias(f"k{c}"))
+    w = w.select("project_id", "uuid", *key).join(n, ["project_id", "a", "b"], "left").join(at("a"), ["project_id", "a"]).join(at("b"), ["project_id", "b"])
+    n = F.coalesce("n", F.lit(0))
+    return w.select("project_id", "uuid", F.when(n == 1, "External Wall").when(n >= 2, "Internal Wall").otherwise("Wall segment").alias("sub_type"), F.when((C("ka") >= 2) & (C("kb") >= 2), "Continuous").otherwise("Dangling").alias("continuity"), F.when(n == 1, 0.9).when(n >= 2, 0.95).otherwise(0.7).alias("confidence"))
+
+
+#: Fields of a model file that change from run to run without its content changing.
+VOLATILE = ("record_id", "revision", "generated_at", "received_at")
+
+
+@query("fn30_stable_hashes", "SELECT record_id, sha256(concat_ws('|', coalesce(project_id, ''), coalesce(walls, ''), coalesce(spaces, ''))) AS seal, count(*) OVER (PARTITION BY sha256(concat_ws('|', coalesce(project_id, ''), coalesce(walls, ''), coalesce(spaces, '')))) AS n_same FROM bim_model")
+def stable_hashes(spark, d):
+    """Hashes of model files without their volatile fields, and how many files share each."""
+    m = table(spark, d, "bim_model")
+    kept = [F.coalesce(c, F.lit("")) for c in m.columns if c not in VOLATILE]
+    h = m.select("record_id", F.sha2(F.concat_ws("|", *kept), 256).alias("seal"))
+    return h.join(h.groupBy("seal").agg(count().alias("n_same")), "seal").select("record_id", "seal", "n_same")
+
+
 # Composites
 
 
@@ -298,7 +352,7 @@ def synthetic(spark, d):
     return drawings.synthetic(spark, 10_000).groupBy("kind").agg(count().alias("n"))
 
 
-@query("g02_leader_counts")
+@query("g02_leader_counts", _led(2000) + " SELECT project_id, count(DISTINCT leader) AS n_leaders, count(*) AS n_points FROM ld GROUP BY project_id")
 def leader_counts(spark, d):
     """Points left when each one near an earlier leader joins it."""
     n = nodes(spark, d).dropna(subset=["x", "y"])
