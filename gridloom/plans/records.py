@@ -41,16 +41,16 @@ def p1_details(spark: SparkSession, d: str) -> DataFrame:
     return nested.model_details(table(spark, d, "bim_model"))
 
 
-def _orphans(spark: SparkSession, d: str) -> DataFrame:
-    return orphans.model_orphans(table(spark, d, "core_walls"), table(spark, d, "core_spaces"), table(spark, d, "core_openings"))
+def _model(spark: SparkSession, d: str) -> list[DataFrame]:
+    return [table(spark, d, t) for t in ("core_walls", "core_spaces", "core_openings")]
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return _orphans(spark, d).select("field_name", "owner_uuid", "target_key")
+    return orphans.model_orphans(*_model(spark, d)).select("field_name", "owner_uuid", "target_key")
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
-    return orphans.orphan_report(_orphans(spark, d)).select("field_name", "period", F.col("n_orphans"))
+    return orphans.orphan_report(*_model(spark, d))
 
 
 QUERIES = {"p1_found": p1_found, "p1_owners": p1_owners, "p1_points": p1_points, "p1_references": p1_references, "p1_ancestry": p1_ancestry, "p1_finishes": p1_finishes, "p1_holes": p1_holes, "p1_details": p1_details, "p5_found": p5_found, "p5_report": p5_report}

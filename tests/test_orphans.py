@@ -9,7 +9,10 @@ OPEN = "uuid string, project_id string, category string, parent_wall string, loa
 
 
 def found(spark, walls, spaces, openings, **kw):
-    df = orphans.model_orphans(spark.createDataFrame([(*w, "z") for w in walls], WALL), spark.createDataFrame([(*s, "z") for s in spaces], SPACE), spark.createDataFrame(openings, OPEN), **kw)
+    tables = spark.createDataFrame([(*w, "z") for w in walls], WALL), spark.createDataFrame([(*s, "z") for s in spaces], SPACE), spark.createDataFrame(openings, OPEN)
+    df = orphans.model_orphans(*tables, **kw).cache()
+    want = {(r["field_name"], r["period"]): r["count"] for r in df.groupBy("field_name", "period").count().collect()}
+    assert {(r["field_name"], r["period"]): r["n_orphans"] for r in orphans.orphan_report(*tables, **kw).collect()} == want
     return sorted(((r["field_name"], r["owner_uuid"], r["target_key"]) for r in df.collect()), key=str)
 
 
@@ -45,5 +48,28 @@ def test_heavy_key_and_nulls(spark):
 
 def test_empty(spark):
     assert found(spark, [], [], []) == []
-    report = orphans.orphan_report(orphans.model_orphans(spark.createDataFrame([], WALL), spark.createDataFrame([], SPACE), spark.createDataFrame([], OPEN)))
+    report = orphans.orphan_report(spark.createDataFrame([], WALL), spark.createDataFrame([], SPACE), spark.createDataFrame([], OPEN))
     assert report.collect() == []
+
+
+def test_counts_over_months(spark):
+    at = [dt.datetime(2025, m, d) for m in range(1, 7) for d in (3, 20)]
+    walls = [("w1", "p", at[2], at[7]), ("w2", "p", at[3], None)]
+    spaces = [(f"s{i}", "p", ["w1", "w2", "w9"], [], [], t, None) for i, t in enumerate(at)] + [("sn", "p", ["w1", "w9"], [], [], None, None)]
+    got = found(spark, walls, spaces, [])
+    assert len([g for g in got if g[2] == "w1"]) == 2 + 5 and len([g for g in got if g[2] == "w2"]) == 3 and len([g for g in got if g[2] == "w9"]) == 13
+    assert found(spark, walls, spaces, [], heavy_rows=1) == got
+
+
+def test_a_third_of_all_references_names_one_key(spark):
+    from pyspark.sql import functions as F
+
+    i = F.col("id")
+    refs = spark.range(150_000).select(F.lit("related_walls").alias("field_name"), F.lit("wall").alias("target_kind"), F.lit("p").alias("project_id"), F.concat(F.lit("s"), i).alias("owner_uuid"), F.when(i % 3 == 0, "hot").otherwise(F.concat(F.lit("w"), i % 5000)).alias("target_key"), F.lit(T[8]).alias("owner_load"))
+    facts = spark.range(2500).select(F.lit("wall").alias("target_kind"), F.lit("p").alias("project_id"), F.concat(F.lit("w"), F.col("id")).alias("target_key"), F.lit(T[0]).alias("target_load"), F.lit(None).cast("timestamp").alias("deleted_at"))
+    scratch = orphans.Scratch(spark, "test")
+    got = orphans.orphan_references(refs, facts, scratch)
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().toString()
+    n = got.count()
+    assert n == refs.join(facts, "target_key", "left_anti").count()
+    assert orphans.orphan_counts(refs, facts, scratch).first()["n_orphans"] == n
