@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+import hashlib
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import arrays, scalar
@@ -91,11 +94,32 @@ def generated(spark, d):
     return drawings.reference_set(spark, 100).groupBy("drawing").agg(count().alias("n_walls"))
 
 
-@query("s23_input_hashes")
+#: Tables of the drawings, whose files are inputs.
+INPUTS = ("audit_entities", "bim_model", "cad_entities", "core_openings", "core_spaces", "core_walls", "geometry_edges", "geometry_nodes")
+
+
+@query("s23_input_hashes", " UNION ALL ".join(f"SELECT '{t}' AS tab, count(*) AS n_rows FROM {t}" for t in INPUTS))
 def input_hashes(spark, d):
-    """A hash of each input file of a table, to show that reading left it as it was."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{d}/core_walls.parquet")
-    return f.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha"))
+    """Rows read from each input table while its files stay as they are: names, lengths and
+    times of all files are hashed before and after, and a change raises. No file's content is
+    gathered in one cell."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def seal(name: str) -> str:
+        at = jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
+        files = at.getFileSystem(conf).listFiles(at, True)
+        seen = []
+        while files.hasNext():
+            f = files.next()
+            seen.append(f"{f.getPath().getName()}|{f.getLen()}|{f.getModificationTime()}")
+        return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()
+    before = {t: seal(t) for t in INPUTS}
+    counted = reduce(DataFrame.unionByName, [table(spark, d, t).agg(count().alias("n_rows")).select(F.lit(t).alias("tab"), "n_rows") for t in INPUTS])
+    got = Scratch(spark, "inputs").save(counted)
+    changed = [t for t in INPUTS if seal(t) != before[t]]
+    if changed:
+        raise RuntimeError(f"changed while being read: {', '.join(changed)}")
+    return got
 
 
 # Identifiers and texts

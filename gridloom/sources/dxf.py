@@ -308,7 +308,8 @@ class Drawing:
             yield {"type": "UNREADABLE", "layer": _str(rec, 8, "0"), "block_name": block, "ancestry": list(chain), "source_entity_type": rec[0][1].strip()}
 
     def inserted(self, rec: list[Pair], m: Matrix, chain: tuple[str, ...], depth: int, sagitta: float) -> Iterator[dict]:
-        """What a block's insert shows, once for each of its rows and columns."""
+        """What a block's insert shows, once for each of its rows and columns; a row of type IGNORED
+        for one that isn't followed: an unknown block, one inside itself, or one below `depth` levels."""
         name = _str(rec, 2, "")
         if name in self.blocks and name not in chain and len(chain) < depth:
             (bx, by), inner = self.blocks[name]
@@ -321,6 +322,8 @@ class Drawing:
                     place = Matrix(cos * sx, sin * sx, -sin * sy, cos * sy, _num(rec, 10) + cos * dx - sin * dy, _num(rec, 20) + sin * dx + cos * dy).of(Matrix(e=-bx, f=-by))
                     for r in inner:
                         yield from self.flat(r, m.of(place), name, (*chain, name), depth, sagitta)
+        else:
+            yield {"type": "IGNORED", "layer": _str(rec, 8, "0"), "block_name": name, "ancestry": list(chain), "source_entity_type": "INSERT"}
 
     def plain(self, rec: list[Pair], m: Matrix, block: str, chain: tuple[str, ...], sagitta: float) -> Iterator[dict]:
         kind = rec[0][1].strip()

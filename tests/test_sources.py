@@ -39,13 +39,14 @@ def rows(spark, tmp_path):
 
 def test_entities(rows):
     a = rows.where("source_file = 'a.dxf'").orderBy("entity_ord").collect()
-    assert [r.type for r in a] == ["LINE", "LWPOLYLINE", "TEXT", "LWPOLYLINE", "LINE", "LWPOLYLINE"]
+    assert [r.type for r in a] == ["LINE", "LWPOLYLINE", "TEXT", "LWPOLYLINE", "LINE", "IGNORED", "LWPOLYLINE"]
+    assert (a[5].source_entity_type, a[5].block_name, a[5].ancestry) == ("INSERT", "door", ["door"])  # a block inside itself
     assert a[0].end.x == 100 and a[0].scale_to_mm == 10 and not a[0].is_corrupt
     assert a[1].closed and len(a[1].vertices) == 3 and (a[2].text, a[2].height) == ("SALON", 30)
     assert a[3].closed and a[3].source_entity_type == "CIRCLE"
     assert (round(a[4].start.x), round(a[4].start.y), round(a[4].end.x), round(a[4].end.y)) == (1000, 500, 1000, 510)
     assert a[4].ancestry == ["door"] and a[4].layer == "kapı"
-    assert [(v.x, v.y) for v in a[5].vertices] == [(10, 10), (20, 30)]
+    assert [(v.x, v.y) for v in a[6].vertices] == [(10, 10), (20, 30)]
 
 
 def test_cut_and_empty_files(rows):
