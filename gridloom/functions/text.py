@@ -21,9 +21,7 @@ def exact_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(composed, r"[ \t\n\r]+", " "))
 
 
-@F.pandas_udf("string")
-def plain_upper(texts: pd.Series) -> pd.Series:
-    """Compatibility forms apart, marks off, dotless and dotted i as one, upper case; once per distinct value."""
+def _plain_upper(texts: pd.Series) -> pd.Series:
     codes, distinct = pd.factorize(texts)
     made = []
     for t in distinct:
@@ -31,3 +29,10 @@ def plain_upper(texts: pd.Series) -> pd.Series:
         made.append("".join(c for c in apart if not unicodedata.combining(c)).upper())
     made.append(None)
     return pd.Series([made[i] for i in codes], index=texts.index, dtype=object)
+
+
+def plain_upper(c: Column) -> Column:
+    """Compatibility forms apart, marks off, dotless and dotted i as one, upper case; once per distinct
+    value of a batch. Only texts beyond ASCII go to Python."""
+    plain = F.pandas_udf(_plain_upper, StringType())
+    return F.when(F.rlike(c, F.lit(r"[^\x00-\x7F]")), plain(c)).otherwise(F.upper(c))

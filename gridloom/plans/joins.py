@@ -280,7 +280,7 @@ def greedy(spark, d):
     pairs = box_join(s, with_box(walls(spark, d).select("project_id", "uuid", *SEG)), ["project_id"], CELL, 100.0)
     gap = lambda a, b: scalar.dist(C(f"x{a}"), C(f"y{a}"), C(f"r_x{b}"), C(f"r_y{b}"))
     pairs = pairs.withColumn("gap", F.least(gap(0, 0) + gap(1, 1), gap(0, 1) + gap(1, 0))).where("gap <= 100").withColumnRenamed("r_uuid", "wall_uuid")
-    return matching.greedy_matches(pairs, ["project_id"], "side", "wall_uuid", ["side"])
+    return matching.greedy_matches(pairs, ["project_id"], "side", "wall_uuid", [])
 
 
 @query("j25_best_area_ratio", with_(SPACES, SIDES, "a AS (SELECT project_id, uuid, area_raw, (max(x0) - min(x0)) * (max(y0) - min(y0)) AS area FROM sides JOIN spaces USING (project_id, uuid) GROUP BY ALL)", "t AS (SELECT a.uuid, max(least(a.area, b.area_raw) / greatest(a.area, b.area_raw)) AS r FROM a JOIN a b USING (project_id) WHERE b.area_raw > 0 AND a.area > 0 GROUP BY ALL)") + f" SELECT uuid, {sq('r', 6)} AS area_ratio_best FROM t")
