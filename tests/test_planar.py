@@ -209,3 +209,29 @@ def test_dbscan_noise_and_border(spark):
     pts = [("p", i, float(x), 0.0) for i, x in enumerate([0, 1, 2, 3, 10, 4.9])]
     got = topology.dbscan(spark.createDataFrame(pts, "project_id string, pid long, x double, y double"), 2.0, 4)
     assert {r.pid: r.label for r in got.collect()} == {0: 1, 1: 1, 2: 1, 3: 1, 4: -1, 5: 1}
+
+
+def box(x, y, n):
+    return [(x, y, x + n, y), (x + n, y, x + n, y + n), (x + n, y + n, x, y + n), (x, y + n, x, y)]
+
+
+def test_holes(spark):
+    # a square in a square, one in that, and two beside each other that share a side
+    walls = box(0, 0, 100) + box(10, 10, 50) + box(20, 20, 10) + box(200, 0, 10) + box(210, 0, 10)
+    got = topology.faces(*built(spark, *walls)).collect()
+    assert sorted((f.area, f.n_holes) for f in got) == [(100, 0), (100, 0), (100, 0), (2400, 1), (7500, 1)]
+
+
+def test_ranks_in_two_levels(spark):
+    from gridloom.operators.ranks import quantiles, ranked
+
+    rows = [("hot" if i % 3 else None, (i * 7919) % 1000, i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k string, v long, i long").repartition(7)
+    got = {r.i: r.ord for r in ranked(df, ["k"], ["v", "i"]).collect()}
+    for k in ("hot", None):
+        own = sorted((v, i) for a, v, i in rows if a == k)
+        assert [got[i] for _, i in own] == list(range(1, len(own) + 1))
+    q = {r.k: (r.a, r.b) for r in quantiles(df, ["k"], "v", [("a", 0.5), ("b", 0.95)]).where("k IS NOT NULL").collect()}
+    values = sorted(v for a, v, _ in rows if a == "hot")
+    at = lambda f: values[int((len(values) - 1) * f)] + (values[min(len(values) - 1, int((len(values) - 1) * f) + 1)] - values[int((len(values) - 1) * f)]) * ((len(values) - 1) * f % 1)
+    assert q["hot"] == pytest.approx((at(0.5), at(0.95)))
