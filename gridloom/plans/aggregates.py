@@ -314,10 +314,13 @@ def edge_fans(spark, d):
     return h.select("project_id", "node_id", "other", F.coalesce(F.lead("other").over(w), F.first("other").over(w)).alias("next_other"))
 
 
-@query("w10_canonical_rings")
+_TURNED = "list_concat({v}[list_position({v}, list_min({v})):], {v}[:list_position({v}, list_min({v})) - 1])"
+
+
+@query("w10_canonical_rings", with_(SPACES, "v AS (SELECT project_id, uuid, list_transform(polygon, lambda p: {'x': p[1], 'y': p[2]}) AS v FROM spaces)", "o AS (SELECT project_id, uuid, CASE WHEN len(v) > 1 AND v[1] = v[len(v)] THEN v[:len(v) - 1] ELSE v END AS v, list_reverse(CASE WHEN len(v) > 1 AND v[1] = v[len(v)] THEN v[:len(v) - 1] ELSE v END) AS w FROM v)") + f" SELECT project_id, uuid, list_transform(CASE WHEN len(v) > 0 THEN least({_TURNED.format(v='v')}, {_TURNED.format(v='w')}) ELSE v END, lambda p: [p.x, p.y]) AS ring FROM o")
 def canonical_rings(spark, d):
     """Rings that are equal for every start and sense."""
-    return spaces(spark, d).select("project_id", "uuid", arrays.canonical_ring(C("v")).alias("ring"))
+    return spaces(spark, d).select("project_id", "uuid", F.transform(arrays.canonical_ring(C("v")), lambda p: F.array(p["x"], p["y"])).alias("ring"))
 
 
 # Order and top lists

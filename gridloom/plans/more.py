@@ -144,7 +144,7 @@ def uuid5(name: Column, space: str = "6ba7b810-9dad-11d1-80b4-00c04fd430c8") ->
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
 
 
-@query("fn27_uuid5")
+@query("fn27_uuid5", "WITH h AS (SELECT row_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(concat_ws('_', entity_type, row_id))) AS h FROM cad_entities) SELECT row_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', ((position(substr(h, 17, 1) IN '0123456789abcdef') - 1) % 4 + 1)::INT, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS uuid FROM h")
 def uuids(spark, d):
     """Name-based ids of entities; checked against a library in the tests."""
     return table(spark, d, "cad_entities").select("row_id", uuid5(F.concat_ws("_", C("entity_type"), C("row_id").cast("string"))).alias("uuid"))
