@@ -444,9 +444,11 @@ def sample_labelled(documents: DataFrame, labels: DataFrame, max_abusive: int =
     ids = one.where("y >= 0.5").orderBy("k", "doc_id").limit(max_abusive).unionAll(one.where("y < 0.5").orderBy("k", "doc_id").limit(max_other)).drop("k")
     rows = documents.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= MAX_CHARS)).join(F.broadcast(ids), "doc_id")
     per: dict[str, list[float]] = {}
-    for r in rows.collect():
+    place: dict[str, int] = {}
+    for r in rows.withColumn("k", F.xxhash64("text", F.lit(seed))).collect():
         per.setdefault(r["text"], []).append(r["y"])
-    texts = sorted(per, key=lambda t: (zlib.crc32(t.encode("utf-8", "replace"), seed), t))
+        place[r["text"]] = r["k"]
+    texts = sorted(per, key=lambda t: (place[t], t))
     return texts, np.array([sum(per[t]) / len(per[t]) for t in texts], np.float64)
 
 
