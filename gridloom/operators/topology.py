@@ -4,14 +4,16 @@ Segments have project_id, uuid, x0, y0, x1, y1."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.scalar import along, crossing, dist, folded, angle180, q, to_segment
 from gridloom.operators.graph import components, first_leaders, min_over_cycle
 from gridloom.operators.matching import A, B, cols, project_nearest
 from gridloom.operators.ranks import ranked
-from gridloom.operators.spatial import best, box_join, point_box, with_box
+from gridloom.operators.spatial import BOX, best, box_join, point_box, with_box
 from gridloom.session import Scratch
 
 C = F.col
@@ -207,3 +209,77 @@ def dbscan(points: DataFrame, eps: float, least: int) -> DataFrame:
     return got.select("project_id", "pid", F.coalesce("label", "reached", F.lit(-1)).alias("label"))
 
 
+#: Each look into open pairs of cells has this many times narrower parts.
+FINER = 4
+#: Farther out than this, doubles are too coarse for cells.
+OUTER = 1e15
+
+
+def _parts(points: DataFrame, keys: list[str], side: float) -> DataFrame:
+    """keys, the box of their points, and px, py: the point nearest to the middle of the cell (cx, cy)."""
+    inner = F.min(F.struct(dist(C("x"), C("y"), (C("cx") + 0.5) * side, (C("cy") + 0.5) * side).alias("d"), "x", "y"))
+    got = points.groupBy(*keys).agg(F.min("x").alias("min_x"), F.min("y").alias("min_y"), F.max("x").alias("max_x"), F.max("y").alias("max_y"), inner.alias("p"))
+    return got.select(*keys, "min_x", "min_y", "max_x", "max_y", C("p.x").alias("px"), C("p.y").alias("py"))
+
+
+def _bounds() -> tuple[Column, Column]:
+    """Of the least distance between the points of two parts (the second's columns with r_)."""
+    gap = [F.greatest(F.lit(0.0), C(f"r_min_{k}") - C(f"max_{k}"), C(f"min_{k}") - C(f"r_max_{k}")) for k in "xy"]
+    return F.sqrt(gap[0] * gap[0] + gap[1] * gap[1]), dist(C("px"), C("py"), C("r_px"), C("r_py"))
+
+
+def count_within(points: DataFrame, tolerances: tuple[int, ...]) -> DataFrame:
+    """tolerance, n_components: components of the points (project_id, x, y; no nulls in x, y) of
+    each project, two being linked if not farther apart than the tolerance. A point with a coordinate
+    that is infinite or no number is alone. Points of no project are alone too, under a null tolerance.
+
+    Pairs of points aren't listed: a crowded project has as many as the square of its points.
+    Points of one cell, 0.7 of the least tolerance wide, are linked anyway, and of two cells it only
+    matters whether their nearest points are. The distance of their boxes and that of one point
+    of each bound it, and for cells of one point each are it. Pairs of cells that this leaves open and that
+    other links haven't joined are looked at in narrower parts, until none is left. Rounding
+    never turns bounds round, so counts are those of all pairs."""
+    scratch = Scratch(points.sparkSession, "within")
+    side, far = 0.7 * min(tolerances), float(max(tolerances))
+    tol = F.explode(F.array(*[F.lit(t) for t in tolerances])).alias("tolerance")
+    finite = (F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))
+    outer = F.greatest(F.abs("x"), F.abs("y")) > OUTER
+    at = {f"c{k}": F.when(finite, F.when(outer, C(k)).otherwise(F.floor(C(k) / side).cast("double"))) for k in "xy"}
+    pts = scratch.save(points.select("project_id", "x", "y").withColumns(at), "points")
+    own = pts.where("project_id IS NOT NULL AND cx IS NOT NULL")
+    cells = _parts(own, ["project_id", "cx", "cy"], side)
+    cells = scratch.save(cells.withColumn("cell", F.monotonically_increasing_id()), "cells")
+
+    lo, hi = _bounds()
+    pairs = box_join(cells, cells, ["project_id"], far * 4, far * 1.001).where("cell < r_cell").withColumns({"lo": lo, "hi": hi}).where(C("lo") <= far)
+    # (ax, ay), (bx, by): the parts in question
+    pairs = scratch.save(pairs.select(C("cell").alias("a"), C("r_cell").alias("b"), C("cx").alias("ax"), C("cy").alias("ay"), C("r_cx").alias("bx"), C("r_cy").alias("by"), "lo", "hi"), "pairs").select("*", tol).where("lo <= tolerance")
+    links = pairs.where("hi <= tolerance").select("tolerance", "a", "b")
+    label = components(links.select("tolerance", F.explode(F.array("a", "b")).alias("n")), links, ["tolerance", "n"])
+    merged = [label.where("n <> component")]
+    # la, lb: the components of the two cells so far
+    rest = pairs.where("hi > tolerance").join(label.toDF("tolerance", "a", "la"), ["tolerance", "a"], "left").join(label.toDF("tolerance", "b", "lb"), ["tolerance", "b"], "left")
+    rest = rest.withColumns({"la": F.coalesce("la", "a"), "lb": F.coalesce("lb", "b")}).where("la <> lb").drop("lo", "hi")
+    found: list[DataFrame] = []
+    while True:
+        rest, seen = scratch.save_with(rest, "open", n=F.count(F.lit(1)))
+        if not seen["n"]:
+            break
+        side /= FINER
+        inside = cells.join(rest.select(F.explode(F.array("a", "b")).alias("cell")).distinct(), "cell", "left_semi").select("project_id", "cx", "cy", "cell")
+        inside = own.join(inside, ["project_id", "cx", "cy"]).select("cell", "x", "y", *[F.floor(C(k) / side).cast("double").alias(f"c{k}") for k in "xy"])
+        parts = scratch.save(_parts(inside, ["cell", "cx", "cy"], side), "parts")
+        up = [C("cell"), F.floor(C("cx") / FINER).cast("double"), F.floor(C("cy") / FINER).cast("double")]
+        one = parts.select(*[c.alias(k) for c, k in zip(up, ("a", "ax", "ay"))], C("cx").alias("nax"), C("cy").alias("nay"), *BOX, "px", "py")
+        two = parts.select(*[c.alias(k) for c, k in zip(up, ("b", "bx", "by"))], C("cx").alias("nbx"), C("cy").alias("nby"), *[C(c).alias(f"r_{c}") for c in (*BOX, "px", "py")])
+        finer = rest.join(one, ["a", "ax", "ay"]).join(two, ["b", "bx", "by"]).withColumns({"lo": lo, "hi": hi}).where("lo <= tolerance")
+        finer = scratch.save(finer.select("tolerance", "a", "b", C("nax").alias("ax"), C("nay").alias("ay"), C("nbx").alias("bx"), C("nby").alias("by"), "la", "lb", "hi"), "finer")
+        found.append(finer.where("hi <= tolerance").select("tolerance", "la", "lb").distinct())
+        rest = finer.where("hi > tolerance").drop("hi").join(found[-1], ["tolerance", "la", "lb"], "left_anti")
+    if found:
+        links = reduce(DataFrame.unionAll, found).toDF("tolerance", "a", "b")
+        merged.append(components(links.select("tolerance", F.explode(F.array("a", "b")).alias("n")), links, ["tolerance", "n"]).where("n <> component"))
+    all_ = cells.select(tol).unionAll(pts.where("project_id IS NOT NULL AND cx IS NULL").select(tol)).unionAll(pts.where("project_id IS NULL").select(F.lit(None).cast("int"))).withColumn("k", F.lit(1))
+    for m in merged:
+        all_ = all_.unionAll(m.select("tolerance", F.lit(-1)))
+    return all_.groupBy("tolerance").agg(F.sum("k").alias("n_components"))

@@ -109,13 +109,7 @@ _VARCC = recursive("vc", "SELECT project_id, n FROM v", "SELECT a.project_id, a.
 @query("g15_ablation", "WITH RECURSIVE " + ", ".join([NODES, _VAR, _VARCC]) + " SELECT split_part(project_id, '|', 1)::INT AS tolerance, count(DISTINCT (project_id, component)) AS n_components FROM vc GROUP BY ALL")
 def ablation(spark, d):
     """Components of nodes linked within each of three tolerances, all in one run with the variant in the key."""
-    n = nodes(spark, d).dropna(subset=["x", "y"]).select("project_id", "node_id", "x", "y")
-    box = point_box(n, "x", "y")
-    pairs = box_join(box, box, ["project_id"], 5000.0, 3000.0).where("node_id < r_node_id").withColumn("gap", scalar.dist(C("x"), C("y"), C("r_x"), C("r_y")))
-    tol = F.explode(F.array(*[F.lit(t) for t in (1000, 2000, 3000)])).alias("tolerance")
-    p = pairs.select("project_id", tol, C("node_id").alias("a"), C("r_node_id").alias("b"), "gap").where(C("gap") <= C("tolerance"))
-    cc = components(n.select("project_id", tol, "node_id"), p, ["project_id", "tolerance", "node_id"])
-    return cc.select("tolerance", "project_id", "component").distinct().groupBy("tolerance").agg(count().alias("n_components"))
+    return topology.count_within(nodes(spark, d).where("x IS NOT NULL AND y IS NOT NULL"), (1000, 2000, 3000))
 
 
 _LABELS = "lb AS (SELECT project_id, source_id AS n, (min_x + max_x) / 2 AS x, (min_y + max_y) / 2 AS y FROM audit WHERE audit_role = 'room_label')"
